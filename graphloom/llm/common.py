@@ -55,7 +55,7 @@ def written(df: DataFrame) -> DataFrame:
 
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's estimate of df's size; for a Parquet scan the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:

@@ -8,6 +8,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm.common import table
+from graphloom.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.decontamination import decontaminate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "items")
+
+
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.token_count import count_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +42,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op4_token_count": op4_token_count,
+    "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
 }
-ORACLES: dict[str, str] = {}

@@ -20,4 +20,14 @@ its as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct i
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
     sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join hit using (doc_id) left join its using (doc_id)""",
+    "op2_substring_dedup": r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+wins as (select doc_id, s, md5(array_to_string(list_slice(w, s, s + 49), ' ')) as g
+    from (select doc_id, w, unnest(range(1, len(w) - 48)) as s from d where len(w) >= 50)),
+firsts as (select g, min(doc_id) as f from wins group by g),
+gone as (select distinct doc_id, unnest(range(s, s + 50)) as p from wins join firsts using (g) where doc_id > f),
+each as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, string_agg(w[p], ' ' order by p) as t, count(*) as n from each anti join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)""",
 }

@@ -20,6 +20,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "items")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.substring_dedup import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.token_count import count_tokens
 
@@ -43,6 +50,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_token_count": op4_token_count,
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,

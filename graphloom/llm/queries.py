@@ -34,6 +34,13 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.language_id import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality_rules import judge
 
@@ -59,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_token_count": op4_token_count,
+    "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,

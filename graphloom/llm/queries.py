@@ -27,6 +27,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.near_dedup import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.token_count import count_tokens
 
@@ -65,6 +71,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op4_token_count": op4_token_count,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,

@@ -40,6 +40,12 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.language_id import identify
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_token_count": op4_token_count,
+    "op5_license_scan": op5_license_scan,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,

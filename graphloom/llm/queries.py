@@ -46,6 +46,13 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.lm_score import score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.language_id import identify
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dedup": op3_near_dedup,
     "op4_token_count": op4_token_count,
     "op5_license_scan": op5_license_scan,
+    "op6_lm_score": op6_lm_score,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_byte_bpe": op9_byte_bpe,

@@ -1,19 +1,22 @@
 """Quality filtering by weak supervision, in DataFrame and SQL functions alone.
 
 Rules vote good (+1), bad (-1) or abstain (0) on each document. Expectation-maximisation over the counts of vote
-patterns estimates each rule's accuracy and the share of good documents without labels; the verdict is the posterior
-probability of good, not the conjunction of all rules.
+patterns estimates, without labels, how far each rule's votes and silence can be trusted and the share of good
+documents; the verdict is the posterior probability of good, not the conjunction of all rules.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import written
 
-#: Rounds of expectation-maximisation, and the first guesses of the good share and of every accuracy.
-ROUNDS, FIRST_PRIOR, FIRST_ACCURACY = 25, 0.7, 0.8
+#: Rounds of expectation-maximisation; first guesses of the good share and of a rule's votes (-1, 0, +1) on good and on
+#: bad documents, and the documents the guesses count as.
+ROUNDS, FIRST_PRIOR, GOOD_VOTES, BAD_VOTES, PSEUDO = 25, 0.8, (0.004, 0.896, 0.1), (0.3, 0.64, 0.06), 10.0
 
 
 def _over(part: Column, whole: Column) -> Column:
@@ -69,62 +72,67 @@ def votes() -> Column:
     letters = _over(F.col("n_letters"), F.col("word_chars"))
     upper = _over(F.col("n_upper"), F.col("n_letters"))
     stops = _over(F.col("n_stops"), n)
+    never = F.lit(False)
     return F.array(
-        rule((length >= 2.5) & (length <= 12), (length < 2) | (length > 16)),
-        rule(symbols <= 0.05, symbols > 0.2),
-        rule((F.col("n_lines") > 1) & (dup == 0), dup > 0.3),
-        rule(repeat <= 0.2, repeat > 0.4),
-        rule(distinct >= 0.3, (n >= 50) & (distinct < 0.15)),
-        rule(letters >= 0.75, letters < 0.6),
-        rule(upper <= 0.2, upper > 0.5),
-        rule(stops >= 0.01, (n >= 100) & (stops < 0.002)),
+        rule(never, (length < 2) | (length > 14)),
+        rule(never, symbols > 0.2),
+        rule(never, dup > 0.3),
+        rule(never, repeat > 0.3),
+        rule(never, (n >= 50) & (distinct < 0.15)),
+        rule(never, letters < 0.7),
+        rule(never, upper > 0.5),
+        rule((stops >= 0.02) & (stops <= 0.4), (n >= 100) & (stops < 0.002)),
     )
 
 
 def fit(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row (prior, accuracies) that expectation-maximisation finds for the votes in column ``votes``.
+    """One row (prior, ratios) that expectation-maximisation finds for the votes in column ``votes``.
 
-    The documents come in as counts of vote patterns, of which rules with three outcomes have a bounded number (3 to
-    the number of rules), whatever the input; an accuracy is kept within 0.01 and 0.99. Without documents, or where
-    every rule abstains, the first guesses stay.
+    ratios holds, for each rule and each of its votes -1, 0, +1, the log ratio of the vote's probability in good and in
+    bad documents: how far the rule is right, silence included. The documents come in as counts of vote patterns, of
+    which rules with three outcomes have a bounded number (3 to the number of rules), whatever the input. First guesses
+    count as PSEUDO documents, and a vote never counts against its meaning. Without documents the guesses stay.
     """
     patterns = voted.groupBy("votes").agg(F.count("*").cast("double").alias("n"))
     listed = patterns.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("patterns"), F.coalesce(F.max(F.size("votes")), F.lit(0)).alias("k"))
     posterior = (
         "transform(patterns, p -> named_struct('v', p.votes, 'n', p.n, 'q', 1D / (1D + exp(-(ln(m.prior / (1D - m.prior)) + "
-        "aggregate(zip_with(p.votes, m.accuracies, (v, a) -> v * ln(a / (1D - a))), 0D, (s, x) -> s + x))))))"
+        "aggregate(zip_with(p.votes, m.ratios, (v, r) -> get(r, v + 1)), 0D, (s, x) -> s + x))))))"
     )
-    accuracy = (
-        "transform(sequence(0, k - 1), j -> greatest(0.01D, least(0.99D, "
-        "aggregate(e, named_struct('hit', 2D * {a}, 'all', 2D), (s, r) -> named_struct("
-        "'hit', s.hit + case get(r.v, j) when 1 then r.n * r.q when -1 then r.n * (1D - r.q) else 0D end, "
-        "'all', s.all + case when get(r.v, j) <> 0 then r.n else 0D end), s -> s.hit / s.all))))"
-    ).format(a=f"{FIRST_ACCURACY}D")
+
+    def chance(weight: str, guess: tuple[float, ...]) -> str:
+        guesses = ", ".join(f"{PSEUDO * g}D" for g in guess)
+        return (
+            f"(get(array({guesses}), v + 1) + aggregate(e, 0D, (s, r) -> s + case when get(r.v, j) = v then {weight} else 0D end)) "
+            f"/ ({PSEUDO}D + aggregate(e, 0D, (s, r) -> s + {weight}))"
+        )
+
+    ratio = f"ln({chance('r.n * r.q', GOOD_VOTES)}) - ln({chance('r.n * (1D - r.q)', BAD_VOTES)})"
+    ratios = f"transform(sequence(0, k - 1), j -> transform(array(-1, 0, 1), v -> case v when -1 then least(0D, {ratio}) when 1 then greatest(0D, {ratio}) else {ratio} end))"
     prior = (
-        f"greatest(0.01D, least(0.99D, aggregate(e, named_struct('q', 2D * {FIRST_PRIOR}D, 'n', 2D), "
+        f"greatest(0.01D, least(0.99D, aggregate(e, named_struct('q', {PSEUDO * FIRST_PRIOR}D, 'n', {PSEUDO}D), "
         "(s, r) -> named_struct('q', s.q + r.n * r.q, 'n', s.n + r.n), s -> s.q / s.n)))"
     )
-    step = f"aggregate(array({posterior}), m, (m0, e) -> named_struct('prior', {prior}, 'accuracies', {accuracy}))"
-    first = f"named_struct('prior', {FIRST_PRIOR}D, 'accuracies', transform(sequence(0, k - 1), j -> {FIRST_ACCURACY}D))"
-    model = f"case when k = 0 then named_struct('prior', {FIRST_PRIOR}D, 'accuracies', cast(array() as array<double>)) else aggregate(sequence(1, {rounds}), {first}, (m, i) -> {step}) end"
-    return listed.select(F.expr(model).alias("m")).select("m.prior", "m.accuracies")
+    step = f"aggregate(array({posterior}), m, (m0, e) -> named_struct('prior', {prior}, 'ratios', {ratios}))"
+    guess = ", ".join(f"{math.log(g / b)!r}D" for g, b in zip(GOOD_VOTES, BAD_VOTES, strict=True))
+    first = f"named_struct('prior', {FIRST_PRIOR}D, 'ratios', transform(sequence(0, k - 1), j -> array({guess})))"
+    model = f"case when k = 0 then named_struct('prior', {FIRST_PRIOR}D, 'ratios', cast(array() as array<array<double>>)) else aggregate(sequence(1, {rounds}), {first}, (m, i) -> {step}) end"
+    return listed.select(F.expr(model).alias("m")).select("m.prior", "m.ratios")
 
 
 def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), least: float = 0.5) -> DataFrame:
     """The columns ``keep``, the counts, base_failed, quality (posterior probability of good) and kept.
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows; such documents are not kept, others
-    are where quality >= least. Features are written once to the shared folder, then counted and judged from there.
+    are where quality >= least; the model is fitted to those others. Features are written once to the shared folder, then counted and judged from there.
     A null or empty text has no words and fails. Repeated rows are judged each; an empty table gives an empty one;
     further columns of docs are not read.
     """
     found = written(features(docs, text_col, keep)).withColumn("votes", votes())
-    model = fit(found).first()  # a prior and one accuracy for each rule
-    weights = [F.lit(float(a)) for a in model["accuracies"]]
-    odds = F.lit(model["prior"] / (1 - model["prior"]))
-    score = F.log(odds)
-    for j, a in enumerate(weights):
-        score = score + F.col("votes")[j] * F.log(a / (1 - a))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    model = fit(found.where(~failed)).first()  # what the base rules leave; a prior and three numbers for each rule
+    score = F.lit(math.log(model["prior"] / (1 - model["prior"])))
+    for j, ratios in enumerate(model["ratios"]):
+        score = score + F.get(F.array(*map(F.lit, ratios)), F.col("votes")[j] + 1)
     quality = 1 / (1 + F.exp(-score))
     return found.withColumn("base_failed", failed).withColumn("quality", quality).withColumn("kept", ~failed & (quality >= least)).drop("votes")

@@ -47,7 +47,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base and its inverse to the powers 0 .. n, at least."""
-    return _powers(max(1 << 20, 1 << int(n + 1).bit_length()))
+    return _powers(max(1 << 18, 1 << int(n + 1).bit_length()))
 
 
 def prefix(values: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Compressed input bytes that one block of documents holds, about.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Name of the column that deals documents to blocks.
 BLOCK = "__block"
 

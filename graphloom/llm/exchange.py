@@ -100,7 +100,7 @@ def one_each(docs: pa.Table, rows: np.ndarray) -> pa.Table:
     return docs.select([ID, HASH, TEXT]).take(pa.array(at[new]))
 
 
-def text_pieces(docs: pa.Table, most: int = 1 << 20) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def text_pieces(docs: pa.Table, most: int = 1 << 18) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``most`` text bytes: the rows, their bytes and offsets."""
     texts = docs[TEXT].combine_chunks() if isinstance(docs[TEXT], pa.ChunkedArray) else docs[TEXT]
     if isinstance(texts, pa.ChunkedArray):

@@ -270,7 +270,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         order = np.lexsort((texts, ids))
         ids, texts, start, stop = ids[order], texts[order], cut["start"].to_numpy()[order], cut["stop"].to_numpy()[order]
         edges = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1])])) if len(ids) else np.empty(0, np.int64)
-        where = {(int(ids[a]), int(texts[a])): (a, b) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(ids)], strict=True)}
+        where = {(int(ids[a]), int(texts[a])): (a, b) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(ids)][: len(edges)], strict=True)}
         out = {name: [] for name, _ in fields}
         base = 0
         for part, data, offsets in exchange.text_pieces(rows):

@@ -16,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     moved = near.join(least, "u").where("v > u" if large else "true").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.union(least.select("u", F.col("m").alias("v")))
-    return moved.where("u <> v").distinct()
+    moved = moved.where("u <> v")
+    return moved if large else moved.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

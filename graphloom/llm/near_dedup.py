@@ -18,7 +18,8 @@ from graphloom.llm import arrays
 from graphloom.llm.common import bytes_of, pieces, written
 from graphloom.llm.components import components
 
-BROADCAST_BYTES = 16 << 20
+#: Bytes of a table that is broadcast, at most; leaders that a round takes from an undecided bucket.
+BROADCAST_BYTES, LEADERS = 16 << 20, 8
 _EXPONENTIAL = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16))
 
 
@@ -234,13 +235,30 @@ def _neighbours(sketched: DataFrame, settings: Sampling) -> DataFrame:
     return ranged.mapInArrow(run, "u bigint, v bigint")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its size is within the bound; beyond it a join shuffles."""
+    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
+
+
+def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """df with its labels replaced by those they belong to."""
+    return df.join(_small(labels.select(F.col("node").alias("label"), F.col("label").alias("__to"))), "label", "left").withColumn("label", F.coalesce("__to", "label")).drop("__to")
+
+
+def _undecided(known: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one class."""
+    several = known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
+    return written(known.join(several, ["band", "key"], "left_semi"))
+
+
 def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links, kept) for each row of docs: the smallest id of its class, the verified links its text
     has to different texts, and whether it is that document.
 
     Texts that are equal form a class at once and go on as one, the copy with the smallest id. In each bucket every
     text is compared with a leader and with its neighbours in sketch order, so pairs grow with the bucket's size, not
-    its square; then, as long as buckets hold more than one class and a round finds a link, with another leader.
+    its square; then, as long as buckets hold more than one class and a round finds a link, the members of such buckets
+    with eight other leaders, each of another class.
     Words are separated by white space, A-Z in lower case; a text of fewer than five words is one shingle. Texts
     without words are like equal texts only. Null texts and rows without an id are classes of their own (class_id is
     the id). Rows of one id are one document. An empty table gives an empty one; further columns are not read.
@@ -259,24 +277,27 @@ def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "do
     pairs = written(led.union(_neighbours(sketched, settings)).distinct())
     tested = written(verified(pairs, texts, frequent, settings))
     links = tested.where(F.col("similarity") >= settings.similarity).select("u", "v")
+    maps = [written(components(links))]
+    known = _labelled(members.select("band", "key", "id", F.col("id").alias("label")), maps[0])
+    waiting = _undecided(known)
     turn = 0
-    while True:
-        labels = written(components(links))
+    while not waiting.isEmpty():
         turn += 1
-        known = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").select("band", "key", "id", F.coalesce("label", "id").alias("label"))
-        chosen = known.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("o"), "id", "label")).alias("l"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        fresh = known.join(chosen.select("band", "key", "l"), ["band", "key"]).where("label <> l.label").select(F.least("id", "l.id").alias("u"), F.greatest("id", "l.id").alias("v")).distinct()
-        more = written(fresh.join(tested.select("u", "v"), ["u", "v"], "left_anti"))
-        if more.isEmpty():
-            break
-        found = written(verified(more, texts, frequent, settings))
-        tested = tested.unionByName(found)
-        new = found.where(F.col("similarity") >= settings.similarity).select("u", "v")
-        if new.isEmpty():
+        leaders = waiting.groupBy("band", "key").agg(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(turn * LEADERS + j)).alias("o"), "id", "label")) for j in range(LEADERS)]).alias("l"))
+        led = waiting.join(_small(leaders.select("band", "key", F.explode(F.array_distinct(F.col("l"))).alias("l"))), ["band", "key"]).where("label <> l.label")
+        sides = led.select(F.least("id", "l.id").alias("u"), F.greatest("id", "l.id").alias("v"), F.when(F.col("id") < F.col("l.id"), F.col("label")).otherwise(F.col("l.label")).alias("lu"), F.when(F.col("id") < F.col("l.id"), F.col("l.label")).otherwise(F.col("label")).alias("lv"))
+        asked = written(sides.distinct())
+        found = written(asked.join(_small(verified(asked.select("u", "v"), texts, frequent, settings).where(F.col("similarity") >= settings.similarity).select("u", "v")), ["u", "v"]))
+        if found.isEmpty():
             break
-        links = links.union(new)
-    per_text = links.select(F.col("u").alias("id")).union(links.select(F.col("v").alias("id"))).groupBy("id").agg(F.count("*").alias("n_links"))
-    by_text = first.join(labels.select(F.col("node").alias("first"), "label"), "first", "left").join(per_text.withColumnRenamed("id", "first"), "first", "left").select("m", F.coalesce("label", "first").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        links = links.union(found.select("u", "v"))
+        maps.append(written(components(found.select(F.col("lu").alias("u"), F.col("lv").alias("v")))))
+        waiting = _undecided(_labelled(waiting, maps[-1]))
+    per_text = links.distinct().select(F.explode(F.array("u", "v")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
+    by_text = first.withColumn("label", F.col("first"))
+    for m in maps:
+        by_text = _labelled(by_text, m)
+    by_text = by_text.join(_small(per_text), "first", "left").select("m", "label", "n_links")
     keyed = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.md5(F.col("text").cast("binary"))).alias("m"))
     class_id = F.coalesce("label", F.col("doc_id").cast("bigint"))
     return keyed.join(by_text, "m", "left").select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -252,8 +252,8 @@ def _undecided(known: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, kept) for each row of docs: the smallest id of its class, the verified links its text
-    has to different texts, and whether it is that document.
+    """(doc_id, class_id, n_links, kept) for each row of docs: the smallest id of its class, the links to different
+    texts that the comparisons below have verified for its text, and whether it is that document.
 
     Texts that are equal form a class at once and go on as one, the copy with the smallest id. In each bucket every
     text is compared with a leader and with its neighbours in sketch order, so pairs grow with the bucket's size, not

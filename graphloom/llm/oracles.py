@@ -30,4 +30,30 @@ each as (select doc_id, w, unnest(range(1, len(w) + 1)) as p from d),
 kept as (select doc_id, string_agg(w[p], ' ' order by p) as t, count(*) as n from each anti join gone using (doc_id, p) group by doc_id)
 select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
 from d left join kept using (doc_id)""",
+    "op3_near_dedup": rf"""
+with recursive t as (select min(doc_id) as id, text from documents where text is not null group by text),
+w as (select id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from t),
+sh as (select id, g, count(*)::double as tf from (
+    select id, array_to_string(list_slice(w, s, s + 4), ' ') as g from (select id, w, unnest(range(1, len(w) - 3)) as s from w where len(w) >= 5)
+    union all select id, array_to_string(w, ' ') from w where len(w) between 1 and 4) group by id, g),
+df as (select g, least(1, ln(1 + (select count(*) from t)::double / count(*)) / ln(11)) as idf from sh group by g),
+v as (select id, g, tf * idf as x from sh join df using (g)),
+total as (select id, sum(x) as x from v group by id),
+pairs as (select a.id as u, b.id as v, sum(least(a.x, b.x)) as m from v a join v b on a.g = b.g and a.id < b.id group by all),
+links as (select u, v from pairs join total a on a.id = u join total b on b.id = v where m / (a.x + b.x - m) >= 0.8),
+edges as (select u, v from links union select v, u from links),
+reach as (select id, id as r from t union select reach.id, edges.v from reach join edges on reach.r = edges.u),
+label as (select id, min(r) as l from reach group by id)
+select d.doc_id, l as class_id, l = d.doc_id as kept from documents d join t on t.text = d.text join label on label.id = t.id""",
+    "op10_suffix_dedup": r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, i, md5(substr(h, (2 * i + 1)::bigint, 200)) as g from (select doc_id, h, unnest(range(0, n - 99)) as i from d where n >= 100)),
+later as (select doc_id, i from w qualify row_number() over (partition by g order by doc_id, i) > 1),
+marked as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 100 then 0 else 1 end as new from later),
+runs as (select doc_id, min(i) as a, max(i) + 100 as b from (select doc_id, i, sum(new) over (partition by doc_id order by i) as k from marked) group by doc_id, k),
+gaps as (select doc_id, b as a, lead(a) over (partition by doc_id order by a) as b from runs union all select doc_id, 0, min(a) from runs group by doc_id),
+kept as (select doc_id, string_agg(substr(h, (2 * gaps.a + 1)::bigint, (2 * (coalesce(b, n) - gaps.a))::bigint), '' order by gaps.a) as h from gaps join d using (doc_id) group by doc_id),
+sums as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed from runs group by doc_id)
+select d.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join sums using (doc_id) left join kept using (doc_id)""",
 }

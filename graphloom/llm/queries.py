@@ -30,7 +30,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.near_dedup import classes
 
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

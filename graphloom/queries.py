@@ -372,7 +372,10 @@ def _num(name: str) -> Val:
     return Val(_num=F.col(name))
 
 
-_text = Val(_text=F.col("t"))
+def _t() -> Val:
+    return Val(_text=F.col("t"))
+
+
 for _n, _sql in _MATH.items():
     _builtin("math", _n, f"select k, round(({_sql})::double, 6) as value from {_CUSTOMER}", lambda spark, sf, u: _customers(spark, sf).select("k", F.round(builtins.evaluate(u, [_num("a"), _num("b")], None).num.cast("double"), 6).alias("value")))
 for _n, _sql in _MATH_ONE.items():
@@ -389,16 +392,16 @@ def _parts(spark, sf_dir):
 
 _PART = "(select p_partkey as k, p_type as t, p_name as n, string_split(p_type, ' ') as l from part)"
 for _n, _sql in _STRING_ONE.items():
-    _builtin("string", _n, f"select k, {_sql} as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, _text, None).text.alias("value")))
+    _builtin("string", _n, f"select k, {_sql} as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, _t(), None).text.alias("value")))
 for _n, _sql in _STRING_TEST.items():
-    _builtin("string", _n, f"select k from {_PART} where {_sql}", lambda spark, sf, u: _parts(spark, sf).where(builtins.evaluate(u, _text, constant('"IN"'))).select("k"))
+    _builtin("string", _n, f"select k from {_PART} where {_sql}", lambda spark, sf, u: _parts(spark, sf).where(builtins.evaluate(u, _t(), constant('"IN"'))).select("k"))
 for _n, _sql in _CRYPTO.items():
-    _builtin("crypto", _n, f"select k, {_sql} as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, _text, None).text.alias("value")))
-_builtin("string", "length", f"select k, strlen(t)::double as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, _text, None).num.alias("value")))
-_builtin("string", "concatenation", f"select k, t || n as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, [_text, Val(_text=F.col("n"))], None).text.alias("value")))
-_builtin("string", "replace", f"select k, replace(t, 'E', 'e') as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, [_text, constant('"E"'), constant('"e"')], None).text.alias("value")))
-_builtin("string", "indexOf", f"select k, (position(' ' in t) - 1)::double as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, [_text, constant('" "')], None).num.alias("value")))
-_builtin("string", "substring", f"select k, substr(t, 3, 4) as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, [_text, constant(terms.literal(2)), constant(terms.literal(4))], None).text.alias("value")))
+    _builtin("crypto", _n, f"select k, {_sql} as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, _t(), None).text.alias("value")))
+_builtin("string", "length", f"select k, strlen(t)::double as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, _t(), None).num.alias("value")))
+_builtin("string", "concatenation", f"select k, t || n as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, [_t(), Val(_text=F.col("n"))], None).text.alias("value")))
+_builtin("string", "replace", f"select k, replace(t, 'E', 'e') as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, [_t(), constant('"E"'), constant('"e"')], None).text.alias("value")))
+_builtin("string", "indexOf", f"select k, (position(' ' in t) - 1)::double as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, [_t(), constant('" "')], None).num.alias("value")))
+_builtin("string", "substring", f"select k, substr(t, 3, 4) as value from {_PART}", lambda spark, sf, u: _parts(spark, sf).select("k", builtins.evaluate(u, [_t(), constant(terms.literal(2)), constant(terms.literal(4))], None).text.alias("value")))
 
 
 def _orders(spark, sf_dir):
@@ -406,7 +409,7 @@ def _orders(spark, sf_dir):
 
 
 for _n, _sql in _TIME.items():
-    _builtin("time", _n, f"select k, ({_sql})::double as value from (select o_orderkey as k, o_orderdate as d from orders)", lambda spark, sf, u: _orders(spark, sf).select("k", builtins.evaluate(u, _text, None).num.alias("value")))
+    _builtin("time", _n, f"select k, ({_sql})::double as value from (select o_orderkey as k, o_orderdate as d from orders)", lambda spark, sf, u: _orders(spark, sf).select("k", builtins.evaluate(u, _t(), None).num.alias("value")))
 
 
 def _list_value(u: str):

@@ -56,4 +56,38 @@ kept as (select doc_id, string_agg(substr(h, (2 * gaps.a + 1)::bigint, (2 * (coa
 sums as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed from runs group by doc_id)
 select d.doc_id, n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
 from d left join sums using (doc_id) left join kept using (doc_id)""",
+    "op8_quality": r"""
+with recursive d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+tri as (select doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)),
+rep as (select doc_id, i from tri qualify count(*) over (partition by doc_id, g) > 1),
+cov as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from rep) group by doc_id),
+f as (select doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as l, coalesce(cov.n, 0)::bigint as n_repeat_words, len(list_distinct(w)) as n_distinct,
+    length(regexp_replace(t, '[^\p{L}]+', '', 'g')) as n_letters, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) as n_upper, length(t) - length(regexp_replace(t, '[.!?]', '', 'g')) as n_stops
+    from d left join cov using (doc_id)),
+x as (select *, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
+v as (select *, case when n_words = 0 then [0, 0, 0, 0, 0, 0, 0, 0] else [
+    case when word_chars / n_words < 2 or word_chars / n_words > 14 then -1 else 0 end, case when n_symbols / n_words > 0.2 then -1 else 0 end,
+    case when len(l) > 0 and n_dup_lines / len(l) > 0.3 then -1 else 0 end, case when n_repeat_words / n_words > 0.3 then -1 else 0 end,
+    case when n_words >= 50 and n_distinct / n_words < 0.15 then -1 else 0 end, case when n_letters / word_chars < 0.7 then -1 else 0 end,
+    case when n_letters > 0 and n_upper / n_letters > 0.5 then -1 else 0 end,
+    case when n_words >= 100 and n_stops / n_words < 0.002 then -1 when n_stops / n_words between 0.02 and 0.4 then 1 else 0 end] end as votes from x),
+p as (select list({'v': votes, 'n': n}) as ps from (select votes, count(*)::double as n from v where not base_failed group by votes)),
+em as (
+    select 0 as round, 0.8::double as prior, list_transform(range(8), lambda j: [ln(0.004 / 0.3), ln(0.896 / 0.64), ln(0.1 / 0.06)]) as ratios
+    union all
+    select round + 1,
+        greatest(0.01, least(0.99, (10 * 0.8 + list_sum(list_transform(e, lambda r: r.n * r.q))) / (10 + list_sum(list_transform(e, lambda r: r.n))))),
+        list_transform(range(1, 9), lambda j: [
+            least(0, ln((0.04 + list_sum(list_transform(e, lambda r: case when r.v[j] = -1 then r.n * r.q else 0 end))) / (10 + list_sum(list_transform(e, lambda r: r.n * r.q))))
+                - ln((3.0 + list_sum(list_transform(e, lambda r: case when r.v[j] = -1 then r.n * (1 - r.q) else 0 end))) / (10 + list_sum(list_transform(e, lambda r: r.n * (1 - r.q)))))),
+            ln((8.96 + list_sum(list_transform(e, lambda r: case when r.v[j] = 0 then r.n * r.q else 0 end))) / (10 + list_sum(list_transform(e, lambda r: r.n * r.q))))
+                - ln((6.4 + list_sum(list_transform(e, lambda r: case when r.v[j] = 0 then r.n * (1 - r.q) else 0 end))) / (10 + list_sum(list_transform(e, lambda r: r.n * (1 - r.q))))),
+            greatest(0, ln((1.0 + list_sum(list_transform(e, lambda r: case when r.v[j] = 1 then r.n * r.q else 0 end))) / (10 + list_sum(list_transform(e, lambda r: r.n * r.q))))
+                - ln((0.6 + list_sum(list_transform(e, lambda r: case when r.v[j] = 1 then r.n * (1 - r.q) else 0 end))) / (10 + list_sum(list_transform(e, lambda r: r.n * (1 - r.q))))))])
+    from (select round, list_transform(ps, lambda r: {'v': r.v, 'n': r.n, 'q': 1 / (1 + exp(-(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 9), lambda j: ratios[j][r.v[j] + 2])))))}) as e from em, p where round < 25)),
+m as (select prior, ratios from em where round = 25)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and coalesce(ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 9), lambda j: ratios[j][votes[j] + 2])) >= 0, true) as kept
+from v left join m on true""",
 }

@@ -64,7 +64,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

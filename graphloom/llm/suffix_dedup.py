@@ -176,6 +176,13 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, hashes[at]
 
 
+def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """data[begin:end] of each pair, as a binary array."""
+    size = end - begin
+    bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[arrays.ragged(begin, size)]))])
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
 
@@ -220,28 +227,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows_ = np.flatnonzero(mask & (end - begin >= WINDOW))
                 key = hashes[rows_] if key_begin is None else arrays.spans_hash(sums, key_begin[rows_], key_end[rows_])
                 out.append((key, part[ID].to_numpy()[doc[rows_]], part[HASH].to_numpy()[doc[rows_]], (at - offsets[doc])[rows_], (at - begin)[rows_], data, begin[rows_], end[rows_]))
-        # contexts that agree: the first stands for them, the others are removed as far as they reach
-        tables = []
-        for key, ids, texts, place, before, data, begin, end in out:
-            size = end - begin
-            flat = pa.py_buffer(np.ascontiguousarray(data[arrays.ragged(begin, size)]))
-            context = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat])
-            tables.append(pa.table([pa.array(key.view(np.int64)), pa.array(ids), pa.array(texts), pa.array(place), pa.array(before.astype(np.int32)), context], names=sent.names[:-1]))
-        whole = pa.concat_tables(tables).combine_chunks()
-        like = whole["context"].combine_chunks().dictionary_encode() if whole.num_rows else None
-        if like is None:
+        if not out:
             return sent.empty_table()
-        like = like.indices.to_numpy(zero_copy_only=False) if not isinstance(like, pa.ChunkedArray) else like.chunk(0).indices.to_numpy(zero_copy_only=False)
-        order = np.lexsort((whole["place"].to_numpy(), whole["h"].to_numpy(), whole["id"].to_numpy(), whole["before"].to_numpy(), whole["key"].to_numpy(), like))
-        new = np.ones(len(order), bool)
-        new[1:] = (like[order[1:]] != like[order[:-1]]) | np.any([whole[c].to_numpy()[order[1:]] != whole[c].to_numpy()[order[:-1]] for c in ("before", "key")], axis=0)
-        done = np.ones(len(order), bool)
-        done[order[new]] = False
-        context = pc.if_else(pa.array(done), pa.scalar(b"", pa.binary()), whole["context"].combine_chunks() if isinstance(whole["context"], pa.ChunkedArray) else whole["context"])
-        # of those done, ``before`` and the context's length give the interval
-        lengths = pc.binary_length(whole["context"]).to_numpy()
-        place, before = whole["place"].to_numpy(), whole["before"].to_numpy()
-        return pa.table([whole["key"], whole["id"], whole["h"], pa.array(np.where(done, place - before, place)), pa.array(np.where(done, lengths, before).astype(np.int32)), context, pa.array(done)], schema=sent)
+        key, ids, texts, place, before = (np.concatenate([x[i] for x in out]) for i in range(5))
+        context = pa.concat_arrays([_slices(data, begin, end) for *_, data, begin, end in out])
+        lengths = pc.binary_length(context).to_numpy(zero_copy_only=False)
+        # contexts that agree: the first stands for them, the others are removed as far as they reach
+        like = context.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort((place, texts, ids, before, key, like))
+        done = np.zeros(len(order), bool)
+        done[order[1:]] = (like[order[1:]] == like[order[:-1]]) & (before[order[1:]] == before[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
+        # of those done, place and before give the interval's start and length
+        columns = [key.view(np.int64), ids, texts, np.where(done, place - before, place), np.where(done, lengths, before).astype(np.int32)]
+        return pa.table([*map(pa.array, columns), pc.if_else(pa.array(done), pa.scalar(b"", pa.binary()), context), pa.array(done)], schema=sent)
 
     contexts = exchange.per_block(marked, answers(first, confirmed), send_contexts, "key bigint, id bigint, h bigint, place bigint, before int, context binary, done boolean")
     spans = f"{ID} bigint, {HASH} bigint, start bigint, stop bigint"

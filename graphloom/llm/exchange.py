@@ -56,16 +56,22 @@ class Codes:
 
 
 def keyed(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame:
-    """docs with the working columns: block, id (null last), text (null as empty) and the text's hash."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({ID: F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)), TEXT: text, HASH: F.xxhash64(text)})
+    """docs with the working columns: block, id (null last) and the text's hash (null as empty). The text itself is
+    renamed, not copied, so that it travels once; ``passed`` names it back."""
+    named = docs.withColumnRenamed(text_col, TEXT)
+    marked = named.withColumns({ID: F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)), HASH: F.xxhash64(F.coalesce(F.col(TEXT), F.lit("")))})
     return with_block(marked, blocks, ID)
 
 
+def passed(rows: pa.Table, names: list[str], text_col: str) -> list[pa.ChunkedArray]:
+    """The columns of docs that go on as they are."""
+    return [rows[TEXT if name == text_col else name] for name in names]
+
+
 def firsts(marked: DataFrame, blocks: int) -> DataFrame:
     """Of each distinct text the smallest id that has it: block, id and hash of the text. Pre-aggregated, so a group
     of copies of any size sends one row from each task."""
-    return with_block(marked.groupBy(F.md5(F.col(TEXT).cast("binary")).alias("__m")).agg(F.min(ID).alias(ID), F.min(HASH).alias(HASH)).drop("__m"), blocks, ID)
+    return with_block(marked.groupBy(F.md5(F.coalesce(F.col(TEXT), F.lit("")).cast("binary")).alias("__m")).agg(F.min(ID).alias(ID), F.min(HASH).alias(HASH)).drop("__m"), blocks, ID)
 
 
 def answers(firsts_: DataFrame, found: DataFrame | None = None) -> DataFrame:

@@ -173,7 +173,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             out["base_score"].append(np.add.reduceat(np.log10(times[number] + 1), at[:-1]) - n * whole)
             out["score"].append(np.add.reduceat(logs, at[:-1]))
         made = [pa.array(np.concatenate(out[name]) if out[name] else np.empty(0), pa.int64() if kind == "bigint" else pa.float64()) for name, kind in fields[1:]]
-        return pa.table([*(rows[name] for name in passed), rows["held_out"], *made], names=schema.names)
+        return pa.table([*exchange.passed(rows, passed, text_col), rows["held_out"], *made], names=schema.names)
 
     side = answers.where(F.col(BLOCK) >= 0).drop("n_distinct", "total")
     return exchange.per_block(marked, side, judge, schema)

@@ -173,6 +173,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out["n_words"].extend(n.tolist())
             base += part.num_rows
         made = {name: pa.array(out[name], pa.int64() if kind == "bigint" else pa.string()) for name, kind in fields}
-        return pa.table([*(rows[name] for name in passed), *made.values()], names=[*passed, *made])
+        return pa.table([*exchange.passed(rows, passed, text_col), *made.values()], names=[*passed, *made])
 
     return exchange.per_block(marked, exchange.answers(first, located), judge, schema)

@@ -294,6 +294,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             base += part.num_rows
         kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
         made = {name: pa.array(out[name], kinds[kind]) for name, kind in fields}
-        return pa.table([*(rows[name] for name in passed), *made.values()], names=[*passed, *made])
+        return pa.table([*exchange.passed(rows, passed, text_col), *made.values()], names=[*passed, *made])
 
     return exchange.per_block(marked, side_rows, judge, schema)

@@ -7,14 +7,12 @@ the text operators.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import byte_bpe, decontamination, language_id, near_dedup, substring_dedup
-from graphloom.llm.common import shared_folder, table
+from graphloom.llm.common import table, written
 
 #: Pooled probability of the best language below which a document is rejected.
 LEAST_LANGUAGE = 0.3
@@ -72,12 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each stage's rows written to the shared folder before the next reads them."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = f"{folder}/{k}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

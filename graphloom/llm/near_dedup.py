@@ -277,8 +277,7 @@ def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "do
     pairs = written(led.union(_neighbours(sketched, settings)).distinct())
     tested = written(verified(pairs, texts, frequent, settings))
     links = tested.where(F.col("similarity") >= settings.similarity).select("u", "v")
-    maps = [written(components(links))]
-    known = _labelled(members.select("band", "key", "id", F.col("id").alias("label")), maps[0])
+    known = _labelled(members.select("band", "key", "id", F.col("id").alias("label")), written(components(links)))
     waiting = _undecided(known)
     turn = 0
     while not waiting.isEmpty():
@@ -291,12 +290,12 @@ def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "do
         if found.isEmpty():
             break
         links = links.union(found.select("u", "v"))
-        maps.append(written(components(found.select(F.col("lu").alias("u"), F.col("lv").alias("v")))))
-        waiting = _undecided(_labelled(waiting, maps[-1]))
+        # each label takes the least it is linked to: enough to see what is left; classes are found once, at the end
+        both = found.select(F.col("lu").alias("node"), F.col("lv").alias("to")).union(found.select("lv", "lu"))
+        nearest = written(both.groupBy("node").agg(F.min("to").alias("label")).where("label < node"))
+        waiting = _undecided(_labelled(waiting, nearest))
     per_text = links.distinct().select(F.explode(F.array("u", "v")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
-    by_text = first.withColumn("label", F.col("first"))
-    for m in maps:
-        by_text = _labelled(by_text, m)
+    by_text = _labelled(first.withColumn("label", F.col("first")), written(components(links)))
     by_text = by_text.join(_small(per_text), "first", "left").select("m", "label", "n_links")
     keyed = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.md5(F.col("text").cast("binary"))).alias("m"))
     class_id = F.coalesce("label", F.col("doc_id").cast("bigint"))

@@ -24,34 +24,35 @@ ID, TEXT, HASH = "__id", "__text", "__h"
 
 
 class Codes:
-    """How hashes are cut to a bucket and a code; ``bits`` bucket bits."""
+    """How hashes are cut to a bucket and a code of ``width`` bytes; ``bits`` bucket bits."""
 
-    def __init__(self, blocks: int):
+    def __init__(self, blocks: int, width: int = 6):
+        self.width = width
         self.bits = max(1, min(16, (max(1, blocks) - 1).bit_length()))
-        self.shift = np.uint64(64 - self.bits - 48)
+        self.shift = np.uint64(64 - self.bits - 8 * width)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """Bucket and code in one number, in the order of the hashes."""
         return hashes >> self.shift
 
     def packed(self, full: np.ndarray) -> tuple[list[int], list[bytes], np.ndarray]:
-        """Of sorted numbers: the buckets, each one's codes as 6 bytes each, and where each bucket's start and end."""
-        buckets = (full >> np.uint64(48)).astype(np.int64)
+        """Of sorted numbers: the buckets, each one's codes, and where each bucket's start and end."""
+        buckets = (full >> np.uint64(8 * self.width)).astype(np.int64)
         present, first = np.unique(buckets, return_index=True)
         edges = np.append(first, len(full))
-        raw = np.ascontiguousarray(full.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-        return present.tolist(), [raw[6 * a : 6 * b] for a, b in zip(edges[:-1], edges[1:], strict=True)], edges
+        raw = np.ascontiguousarray(full.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]).tobytes()
+        return present.tolist(), [raw[self.width * a : self.width * b] for a, b in zip(edges[:-1], edges[1:], strict=True)], edges
 
     @staticmethod
-    def unpacked(blobs: list[bytes], buckets: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def unpacked(blobs: list[bytes], buckets: list[int] | None = None, width: int = 6) -> tuple[np.ndarray, np.ndarray]:
         """All blobs' codes, one after another (with their buckets, if given), and the blobs' lengths."""
-        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
         out = np.zeros((len(raw), 8), np.uint8)
-        out[:, :6] = raw
-        lengths = np.fromiter((len(b) // 6 for b in blobs), np.int64, len(blobs))
+        out[:, :width] = raw
+        lengths = np.fromiter((len(b) // width for b in blobs), np.int64, len(blobs))
         full = out.view("<u8").reshape(-1)
         if buckets is not None and len(full):
-            full = full | (np.repeat(np.array(buckets, np.uint64), lengths) << np.uint64(48))
+            full = full | (np.repeat(np.array(buckets, np.uint64), lengths) << np.uint64(8 * width))
         return full, lengths
 
 
@@ -115,13 +116,13 @@ def text_pieces(docs: pa.Table, most: int = 1 << 18) -> Iterator[tuple[pa.Table,
         yield (docs.slice(start, stop - start), *arrays.buffer(texts.slice(start, stop - start)))
 
 
-def side_codes(side: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+def side_codes(side: pa.Table, width: int = 6) -> tuple[np.ndarray, list[bytes]]:
     """The sorted codes the buckets have answered, and what came with them, in that order."""
     buckets = side["bucket"].to_numpy()
     at = np.flatnonzero(buckets >= 0)
     at = at[np.argsort(buckets[at], kind="stable")]
     rows = side.take(pa.array(at))
-    full, _ = Codes.unpacked(rows["codes"].to_pylist(), rows["bucket"].to_pylist())
+    full, _ = Codes.unpacked(rows["codes"].to_pylist(), rows["bucket"].to_pylist(), width)
     return full, rows["more"].to_pylist()
 
 

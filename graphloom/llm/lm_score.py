@@ -21,6 +21,8 @@ from graphloom.llm.exchange import HASH, ID, TEXT, Codes
 
 #: Pairs seen less often in training are not in the model; weight of the unigram distribution in tokens.
 LEAST_PAIR, PRIOR_TOKENS = 2, 500.0
+#: Bytes of the codes of tokens (kind 1) and of pairs (kind 2), below the bucket's bits.
+WIDTH = {1: 6, 2: 5}
 END = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xA0761D6478BD642F)
 
@@ -71,12 +73,12 @@ def _added(rows: pa.Table) -> pa.Table:
     """A bucket's sums, to each block for the codes it sent (pairs: those in the model only), and one row with the
     number of distinct codes and their total."""
     kind = rows["kind"][0].as_py()
-    full, lengths = Codes.unpacked(rows["codes"].to_pylist())
+    full, lengths = Codes.unpacked(rows["codes"].to_pylist(), width=WIDTH[kind])
     counts = np.frombuffer(b"".join(rows["more"].to_pylist()), "<u4")
     distinct, which = np.unique(full, return_inverse=True)
     sums = np.bincount(which, weights=counts, minlength=len(distinct)).astype("<u8")
     keep = (sums >= LEAST_PAIR if kind == 2 else np.ones(len(sums), bool))[which]
-    raw = np.ascontiguousarray(full.view(np.uint8).reshape(-1, 8)[:, :6])
+    raw = np.ascontiguousarray(full.view(np.uint8).reshape(-1, 8)[:, : WIDTH[kind]])
     answer = sums[which]
     blobs, more = [], []
     ends = np.cumsum(lengths)
@@ -91,7 +93,7 @@ def _added(rows: pa.Table) -> pa.Table:
 
 def _answered(side: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     part = side.filter(pa.array(side["kind"].to_numpy() == kind, pa.bool_())) if side.num_rows else side
-    full, more = exchange.side_codes(part) if part.num_rows else (np.empty(0, np.uint64), [])
+    full, more = exchange.side_codes(part, WIDTH[kind]) if part.num_rows else (np.empty(0, np.uint64), [])
     return full, np.frombuffer(b"".join(more), "<u8").astype(np.float64)
 
 
@@ -105,7 +107,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     without a training row N and V are 0.
     """
     blocks = block_count(docs)
-    codes = Codes(blocks)
+    codes, pair_codes = (Codes(blocks, WIDTH[kind]) for kind in (1, 2))
     marked = exchange.keyed(docs.withColumn("held_out", held_out(id_col, folds, fold)), blocks, id_col, text_col)
     slim = marked.select(BLOCK, ID, HASH, TEXT, "held_out")
 
@@ -119,10 +121,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             one.append(_counted(codes.of(hashes), counts))
             inner = np.ones(len(hashes), bool)
             inner[at[:-1]] = False
-            two.append(_counted(codes.of(pairs(hashes)[inner]), counts[inner]))
+            two.append(_counted(pair_codes.of(pairs(hashes)[inner]), counts[inner]))
             base += part.num_rows
         block = rows[BLOCK][0].as_py()
-        sent = [_rows(kind, block, codes, *_counted(np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found]))) for kind, found in ((1, one), (2, two))]
+        sent = [_rows(kind, block, how, *_counted(np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found]))) for kind, how, found in ((1, codes, one), (2, pair_codes, two))]
         return pa.concat_tables(sent)
 
     answers = written(slim.groupBy(BLOCK).applyInArrow(send, ROWS).groupBy("kind", "bucket").applyInArrow(_added, ROWS))
@@ -146,7 +148,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
             inner[at[:-1]] = False
             before = np.concatenate([[-1], number[:-1]])
             before[~inner] = -1
-            has, where = exchange.member(codes.of(pairs(hashes)), in_model)
+            has, where = exchange.member(pair_codes.of(pairs(hashes)), in_model)
             has &= inner
             contexts.append(before[has])
             follows.append(number[has])

@@ -20,6 +20,8 @@ from graphloom.llm.components import components
 
 #: Bytes of a table that is broadcast, at most; leaders that a round takes from an undecided bucket.
 BROADCAST_BYTES, LEADERS = 16 << 20, 8
+#: Counters that order shingles by frequency in the exact join; members of a posting that are joined in one cell.
+SLOTS, CELL = 1 << 22, 256
 _EXPONENTIAL = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16))
 
 
@@ -251,6 +253,72 @@ def _undecided(known: DataFrame) -> DataFrame:
     return written(known.join(several, ["band", "key"], "left_semi"))
 
 
+def _ordered(texts: DataFrame, settings: Sampling) -> np.ndarray:
+    """How often shingles stand in texts (id, text), summed in ``SLOTS`` counters by hash: never less than a shingle's
+    own frequency."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("text")
+            for start, stop in pieces(column, 1 << 20):
+                _, hashes, _ = shingles(*arrays.buffer(column.slice(start, stop - start)), settings.shingle)
+                slot, n = np.unique(hashes & np.uint64(SLOTS - 1), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"slot": slot.astype(np.int32), "n": n.astype(np.int64)})
+
+    counted = texts.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int32)
+    out[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def _prefixes(texts: DataFrame, frequent: Frequent, settings: Sampling) -> DataFrame:
+    """id, label, whole weight, and hash and rest (the weight from there on) of each shingle in the prefixes of texts
+    (id, label, text), rarest shingles first. The first shingle that two texts at the least similarity share has in
+    both a rest of no less than that share of the whole; shingles of one text only are left out."""
+    order = texts.sparkSession.sparkContext.broadcast(_ordered(texts, settings))
+    least = settings.similarity * (1 - 1e-9)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("text")
+            for start, stop in pieces(column, 1 << 20):
+                part = batch.slice(start, stop - start)
+                doc, hashes, times = shingles(*arrays.buffer(part.column("text")), settings.shingle)
+                weights = frequent.weights(hashes, times)
+                seen = order.value[(hashes & np.uint64(SLOTS - 1)).view(np.int64)]
+                turn = np.lexsort((hashes, seen, doc))
+                hashes, weights, seen = hashes[turn], weights[turn], seen[turn]
+                whole = np.bincount(doc, weights=weights, minlength=part.num_rows)
+                sums = np.concatenate([[0.0], np.cumsum(weights)])
+                ends = np.searchsorted(doc, np.arange(part.num_rows), "right")
+                rest = sums[ends[doc]] - sums[:-1]
+                # rounding of the sums must not lose a text's first place
+                keep = (rest >= least * whole[doc] - 1e-9 * sums[-1]) & (seen > 1)
+                at = pa.array(doc[keep])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("label").take(at), pa.array(hashes[keep].view(np.int64)), pa.array(rest[keep] + 1e-9 * sums[-1]), pa.array(whole[doc[keep]])], names=["id", "label", "hash", "rest", "whole"])
+
+    return texts.select("id", "label", "text").mapInArrow(run, "id bigint, label bigint, hash bigint, rest double, whole double")
+
+
+def _exact(waiting: DataFrame, texts: DataFrame, frequent: Frequent, settings: Sampling) -> DataFrame:
+    """All pairs (u, v) of the waiting (id, label) at the least similarity whose labels differ, by an exact weighted
+    prefix join. A long posting is dealt to cells of two parts each, so no task has more of it than two parts."""
+    members = waiting.select("id", "label").distinct()
+    found = written(_prefixes(written(texts.join(_small(members), "id")), frequent, settings))
+    postings = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    dealt = found.join(postings.select("hash", parts.alias("parts")), "hash").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    cells = written(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "hash", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "id", "label", "rest", "whole"))
+    u, v = cells.alias("u"), cells.alias("v")
+    share = settings.similarity / (1 + settings.similarity) * (1 - 1e-9)
+    meets = (F.col("u.id") < F.col("v.id")) & (F.col("u.label") != F.col("v.label")) & ((F.col("u.part") != F.col("v.part")) | (F.col("u.a") == F.col("u.b")))
+    enough = F.least("u.rest", "v.rest") >= share * (F.col("u.whole") + F.col("v.whole"))
+    same = [F.col(f"u.{c}") == F.col(f"v.{c}") for c in ("hash", "a", "b")]
+    pairs = written(u.join(v, same[0] & same[1] & same[2] & meets & enough).select(F.col("u.id").alias("u"), F.col("v.id").alias("v")).distinct())
+    return verified(pairs, texts, frequent, settings).where(F.col("similarity") >= settings.similarity).select("u", "v")
+
+
 def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links, kept) for each row of docs: the smallest id of its class, the links to different
     texts that the comparisons below have verified for its text, and whether it is that document.
@@ -258,7 +326,8 @@ def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "do
     Texts that are equal form a class at once and go on as one, the copy with the smallest id. In each bucket every
     text is compared with a leader and with its neighbours in sketch order, so pairs grow with the bucket's size, not
     its square; then, as long as buckets hold more than one class and a round finds a link, the members of such buckets
-    with eight other leaders, each of another class.
+    with eight other leaders, each of another class. What is left in buckets of several classes after that is joined
+    exactly, so no link between texts that share a bucket is missed.
     Words are separated by white space, A-Z in lower case; a text of fewer than five words is one shingle. Texts
     without words are like equal texts only. Null texts and rows without an id are classes of their own (class_id is
     the id). Rows of one id are one document. An empty table gives an empty one; further columns are not read.
@@ -288,6 +357,7 @@ def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "do
         asked = written(sides.distinct())
         found = written(asked.join(_small(verified(asked.select("u", "v"), texts, frequent, settings).where(F.col("similarity") >= settings.similarity).select("u", "v")), ["u", "v"]))
         if found.isEmpty():
+            links = links.union(written(_exact(waiting, texts, frequent, settings)))
             break
         links = links.union(found.select("u", "v"))
         # each label takes the least it is linked to: enough to see what is left; classes are found once, at the end

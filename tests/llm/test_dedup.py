@@ -158,3 +158,28 @@ def test_samples_agree_as_often_as_sets_are_alike():
     _, samples = near_dedup.consistent_samples(doc, np.concatenate([a, b]), np.concatenate([wa, wb]), 3000)
     common = sum(weight[int(h)] for h in shared)
     assert abs((samples[0] == samples[1]).mean() - common / (wa.sum() + wb.sum() - common)) < 0.03
+
+
+def _family(n, pairs):
+    """Texts of one template at about 0.5 to 0.75 of each other, and some with one near copy each."""
+    rng = np.random.default_rng(3)
+    shared = [f"s{i}" for i in range(400)]
+    texts = {}
+    for d in range(n):
+        own = [f"d{d}x{i}" for i in range(int(rng.integers(50, 90)))]
+        texts[d] = " ".join([*shared, *own])
+        if d < pairs:
+            texts[10_000 + int(rng.integers(0, 10**9))] = " ".join([*shared, *own[:-2], f"e{d}", f"f{d}"])
+    return texts
+
+
+def test_exact_join_finds_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CELL", 7)
+    texts = _family(60, 15)
+    frame = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(2)
+    frequent, _ = near_dedup.frequencies(frame, near_dedup.Sampling())
+    waiting = frame.selectExpr("id", "id as label")
+    found = near_dedup._exact(waiting, frame, frequent, near_dedup.Sampling()).collect()
+    ids = sorted(texts)
+    expected = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if near_dedup.similarity(texts[a], texts[b], frequent, 5) >= 0.8}
+    assert {(r.u, r.v) for r in found} == expected and len(found) == len(expected) >= 15

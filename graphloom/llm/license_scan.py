@@ -1,6 +1,6 @@
 """License scans: an exact set-similarity join of text blocks with license templates, and base phrases.
 
-A template and a block (a line of a document) are sets of words. Words are ordered by their frequency over all
+A template and a block (a line of a document, or a window of the template's length that may cross line breaks) are sets of words. Words are ordered by their frequency over all
 documents; a block joins a template only through the template's prefix, the rarest words of which a block at the
 containment threshold cannot lack all. Bounds on length and position drop what cannot reach the threshold, and what is
 left is verified exactly.
@@ -48,11 +48,12 @@ def _hash(word: str) -> int:
 @dataclasses.dataclass(frozen=True)
 class Plan:
     """Templates over numbered words: word hashes (sorted), each template's words as numbers in order of rarity, its
-    label, and base phrases as hash sequences with their labels."""
+    label, its length in words, and base phrases as hash sequences with their labels."""
 
     hashes: np.ndarray
     templates: list[tuple[np.ndarray, str]]
     needed: list[int]
+    lengths: list[int]
     prefixes: dict[int, list[tuple[int, int]]]
     phrases: list[tuple[np.ndarray, str]]
 
@@ -92,10 +93,10 @@ def plan(docs: DataFrame, templates: dict[str, str], containment: float, text_co
         for position, w in enumerate(ordered[: len(ordered) - least + 1]):
             prefixes.setdefault(number[w], []).append((i, position))
     phrases = [(np.array([vocabulary[w] for w in text.split()], np.uint64), label) for text, label in BASE_PHRASES.items()]
-    return Plan(hashes, made, needed, prefixes, phrases)
+    return Plan(hashes, made, needed, [len(t.split()) for t in templates], prefixes, phrases)
 
 
-def scan_piece(data: np.ndarray, offsets: np.ndarray, rules: Plan) -> dict[str, list]:
+def scan_piece(data: np.ndarray, offsets: np.ndarray, rules: Plan, wrapped: bool = False) -> dict[str, list]:
     """The result's columns for the texts of one piece."""
     starts, ends, bounds = arrays.words(data, offsets, arrays.NOT_ALNUM)
     hashes = arrays.words_hash(data, starts, ends, lower=True)
@@ -153,6 +154,20 @@ def scan_piece(data: np.ndarray, offsets: np.ndarray, rules: Plan) -> dict[str,
                 if share >= rules.needed[i]:
                     labels.setdefault(d, set()).add(label)
                     score[d] = max(score[d], share / len(template))
+    if wrapped:
+        # windows of a template's length over the whole text: one that reaches the threshold does so from its first template word on
+        for i, (template, label) in enumerate(rules.templates):
+            member = np.zeros(len(rules.hashes), bool)
+            member[template] = True
+            own = member[number]
+            at, which, of = inside[own], number[own], owner_doc[own]
+            stop = np.searchsorted(at, np.minimum(at + rules.lengths[i], bounds[of + 1]))
+            for j in np.flatnonzero(stop - np.arange(len(at)) >= rules.needed[i]).tolist():
+                share = len(set(which[j : stop[j]].tolist()))
+                if share >= rules.needed[i]:
+                    d = int(of[j])
+                    labels.setdefault(d, set()).add(label)
+                    score[d] = max(score[d], share / len(template))
     out: dict[str, list] = {"n_words": np.diff(bounds).tolist(), "n_base": n_base.tolist(), "first_word": first, "last_word": last, "base_labels": [], "labels": [], "score": []}
     for d in range(texts):
         own = base.get(d, set())
@@ -162,12 +177,13 @@ def scan_piece(data: np.ndarray, offsets: np.ndarray, rules: Plan) -> dict[str,
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, text_col: str = "text", wrapped: bool = False) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     n_base counts all places of the base phrases; first_word and last_word are their smallest and largest start (null
     if there is none); labels are those of base phrases and of templates a line contains to the threshold, distinct,
-    sorted and comma-joined; score is 1 where a base phrase stands, else the best containment. The templates are a
+    sorted and comma-joined; score is 1 where a base phrase stands, else the best containment. With ``wrapped``, blocks
+    are besides lines all windows of a template's number of words, across line breaks. The templates are a
     fixed list, so their counts, prefixes and words go to all tasks; documents aren't shuffled.
     Null and empty texts have no words, empty labels and score 0. Repeated rows and further columns pass through;
     columns with the result's names are replaced. An empty table gives an empty one.
@@ -178,7 +194,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
 
     def make():
         def run(texts: pa.Array) -> dict[str, pa.Array]:
-            found = scan_piece(*arrays.buffer(texts), rules)
+            found = scan_piece(*arrays.buffer(texts), rules, wrapped)
             return {name: pa.array(found[name], types[kind]) for name, kind in kinds.items()}
 
         return run

@@ -43,7 +43,7 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.license_scan import scan
 
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), wrapped=True).drop("text")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

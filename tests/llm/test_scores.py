@@ -67,6 +67,22 @@ def test_license_scan(spark, docs, rows, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_wrapped_notices(spark, tmp_path):
+    from graphloom.llm.queries import op5_license_scan
+
+    notices = {
+        "mit": "x y\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated",
+        "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided",
+        "mpl-2.0": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy",
+        "": "redistribution and use in source and binary\n" + "word " * 12 + "\nforms with or without modification are permitted",
+    }
+    more = [("public-domain", "this work is dedicated\n\nto the public domain"), ("", "this work is dedicated"), ("", "to the public domain"), ("", None), ("", "")]
+    rows = [*notices.items(), *more]
+    spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.labels, r.score) for r in op5_license_scan(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(rows))] == [(label, 1.0 if label else 0.0) for label, _ in rows]
+
+
 def test_prefix_and_bounds_lose_no_block(spark):
     templates = {"a b c d e f g h i j": "x", "c d k": "y"}
     lines = ["a b c d e f g h z z", "a b c d e f g h i", "k d c", "c d", "j i h g f e d c b a k"]

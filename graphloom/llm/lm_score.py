@@ -2,8 +2,8 @@
 
 Each block of documents asks for the counts of the tokens and token pairs it has, and sends its own from training
 documents; hash buckets add them up and answer. A block then builds the trie of the model restricted to what can occur
-in it, so no task holds more of the model than its own documents need, however large the corpus. Pairs seen at least
-``least_pair`` times are in the model; probabilities are Dirichlet-smoothed towards the add-one unigram distribution.
+in it, so no task holds more of the model than its own documents need, however large the corpus. All pairs seen
+in training are in the model, so the probabilities after a token sum to 1; they are Dirichlet-smoothed towards the add-one unigram distribution.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from graphloom.llm.common import BLOCK, block_count, extended, written
 from graphloom.llm.elias_fano import Trie
 from graphloom.llm.exchange import HASH, ID, TEXT, Codes
 
-#: Pairs seen less often in training are not in the model; weight of the unigram distribution in tokens.
-LEAST_PAIR, PRIOR_TOKENS = 2, 500.0
+#: Pairs seen less often in training are not in the model (1: all are); weight of the unigram distribution in tokens.
+LEAST_PAIR, PRIOR_TOKENS = 1, 500.0
 #: Bytes of the codes of tokens (kind 1) and of pairs (kind 2), below the bucket's bits.
-WIDTH = {1: 6, 2: 5}
+WIDTH = {1: 6, 2: 6}
 END = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0xA0761D6478BD642F)
 

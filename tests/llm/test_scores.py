@@ -118,6 +118,17 @@ def test_language_model(docs, rows, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_pairs_seen_once_are_in_the_model(spark):
+    texts = ["a b", "c d"]
+    ids = [d for d in range(50) if zlib.crc32(str(d).encode()) % 7 != 2][:2]
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()}
+    n, v = 6, 5
+    chance = lambda c: (c + 1) / (n + v + 1)
+    after = lambda c: (1 + lm_score.PRIOR_TOKENS * chance(c)) / (1 + lm_score.PRIOR_TOKENS)
+    expected = math.log10(chance(1)) + math.log10(after(1)) + math.log10(after(2))
+    assert all(got[d].score == pytest.approx(expected, abs=1e-4) for d in ids)
+
+
 @pytest.mark.parametrize(("n", "universe"), [(0, 1), (1, 1), (10, 5), (1000, 10**6), (5000, 3), (7, 2**40)])
 def test_elias_fano(n, universe, tmp_path):
     values = np.sort(np.random.default_rng(n).integers(0, universe, n))

@@ -21,9 +21,9 @@ from graphloom.llm import arrays
 from graphloom.llm.common import append_columns
 from graphloom.llm.pretokens import split
 
-#: Distinct pre-tokens whose ids a task keeps between pieces, at most; beyond it a new
-#: generation starts and the one before the last goes.
-CACHE_WORDS = 400_000
+#: Distinct pre-tokens whose ids a task keeps between pieces, and pairs of tokens whose rank it keeps, at most; with
+#: the task they go.
+CACHE_WORDS, CACHE_PAIRS = 100_000, 200_000
 
 
 class ByteBpe:
@@ -43,14 +43,18 @@ class ByteBpe:
         self.token_starts = np.cumsum(self.token_lengths) - self.token_lengths
         self.pair_rank: dict[int, int] = {}
         self.cache: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+
+    def forget(self) -> None:
+        self.cache, self.pair_rank = {}, {}
 
     def _rank(self, a: int, b: int) -> int:
         """The rank of the token that a and b make; -1 if there is none."""
         key = a << 32 | b
         found = self.pair_rank.get(key)
         if found is None:
-            found = self.pair_rank[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+            found = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
+            if len(self.pair_rank) < CACHE_PAIRS:
+                self.pair_rank[key] = found
         return found
 
     @functools.cached_property
@@ -137,16 +141,18 @@ class ByteBpe:
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         hashes = arrays.spans_hash(arrays.bytes_prefix(data), begin, end)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.older = {}, self.cache
         keys = distinct.tolist()
         raw = data.tobytes()
-        if self.older:
-            self.cache.update((h, self.older[h]) for h in keys if h not in self.cache and h in self.older)
-        new = [k for k, h in enumerate(keys) if h not in self.cache]
+        coded = [self.cache.get(h) for h in keys]
+        new = [k for k, found in enumerate(coded) if found is None]
         for k, ids in zip(new, self.replay([raw[begin[first[k]] : end[first[k]]] for k in new]), strict=True):
-            self.cache[keys[k]] = np.array(ids, np.uint32).tobytes()
-        coded = [self.cache[h] for h in keys]
+            coded[k] = np.array(ids, np.uint32).tobytes()
+        # the most frequent ones first
+        room = CACHE_WORDS - len(self.cache)
+        if room > 0 and new:
+            times = np.bincount(which, minlength=len(keys))[new]
+            for j in np.argsort(-times, kind="stable")[:room].tolist():
+                self.cache[keys[new[j]]] = coded[new[j]]
         lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         flat = np.frombuffer(b"".join(coded), np.uint32)
         starts = np.cumsum(lengths) - lengths
@@ -183,6 +189,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", k
 
     def make():
         bpe = load(vocabulary)
+        bpe.forget()
 
         def run(texts: pa.Array) -> dict[str, pa.Array]:
             data, offsets = arrays.buffer(texts)
@@ -209,4 +216,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", k
         return run
 
     fields = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>")] * keep_ids
-    return append_columns(docs, make, fields, text_col)
+    return append_columns(docs, make, fields, text_col, piece_bytes=1 << 20, done=lambda: load(vocabulary).forget())

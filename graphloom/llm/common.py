@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import math
 import tempfile
 import uuid
@@ -69,6 +71,32 @@ def with_block(df: DataFrame, blocks: int, id_col: str = "doc_id") -> DataFrame:
     return df.withColumn(BLOCK, F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int"))
 
 
+@functools.lru_cache(1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released() -> None:
+    """Gives freed memory back to the system. Python workers outlive their tasks and wait beside those at work, so what
+    the allocators keep for later would add up."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+def tidy(function: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """function, and memory released once it is done with a group."""
+
+    def run(*tables):
+        try:
+            return function(*tables)
+        finally:
+            released()
+
+    # Spark tells a key's argument by the number of parameters
+    return (lambda one: run(one)) if function.__code__.co_argcount == 1 else (lambda one, other: run(one, other))
+
+
 def extended(schema: T.StructType, fields: list[tuple[str, str]]) -> T.StructType:
     """schema and the new fields; a column of the same name gives way."""
     new = {name for name, _ in fields}
@@ -91,12 +119,12 @@ def pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 def append_columns(
     df: DataFrame, make: Callable[[], Callable[[pa.Array], dict[str, pa.Array]]], fields: list[tuple[str, str]],
-    text_col: str = "text", piece_bytes: int = 4 << 20,
+    text_col: str = "text", piece_bytes: int = 4 << 20, done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """df's rows with the columns ``make()(texts)`` returns, computed on Arrow batches cut to ``piece_bytes`` of text.
 
     ``make`` runs once in each task and returns the function that takes a string array (nulls kept) to a dict with
-    one array for each of ``fields``. No shuffle; a column of the same name is replaced.
+    one array for each of ``fields``; ``done()`` ends a task. No shuffle; a column of the same name is replaced.
     """
     schema = extended(df.schema, fields)
     kept = [f.name for f in schema.fields[: len(schema) - len(fields)]]
@@ -109,5 +137,8 @@ def append_columns(
                 part = batch.slice(start, stop - start)
                 made = function(part.column(text_col))
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in kept] + [made[n] for n, _ in fields], names=schema.names)
+        if done is not None:
+            done()
+        released()
 
     return df.mapInArrow(run, schema)

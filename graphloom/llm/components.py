@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,13 +26,15 @@ def components(links: DataFrame) -> DataFrame:
     Ends when a large and a small star change nothing; the number of rounds grows with the logarithm of the size.
     Self-links and repeated links don't matter; nulls are dropped; no links give no rows.
     """
-    edges = cut(links.select("u", "v").where("u <> v").distinct())
+    edges = written(links.select("u", "v").where("u <> v").distinct())
     before = None
     while True:
-        edges = cut(_star(_star(edges, True), False))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        seen = Observation()
+        mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")
+        edges = written(_star(_star(edges, True), False).observe(seen, F.count(F.lit(1)).alias("n"), mark))
+        state = seen.get["n"], seen.get["mark"]
+        if not state[0] or state == before:
             break
-        before = tuple(state)
+        before = state
     labels = edges.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node")
-    return labels.union(labels.select(F.col("label").alias("node"), "label").distinct()).groupBy("node").agg(F.min("label").alias("label"))
+    return written(labels.union(labels.select(F.col("label").alias("node"), "label").distinct()).groupBy("node").agg(F.min("label").alias("label")))

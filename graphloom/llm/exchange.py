@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrays
-from graphloom.llm.common import BLOCK, block_count, pieces, with_block
+from graphloom.llm.common import BLOCK, block_count, pieces, tidy, with_block
 
 #: Stands for a null id: after all others.
 LAST_ID = (1 << 63) - 1
@@ -24,12 +24,14 @@ ID, TEXT, HASH = "__id", "__text", "__h"
 
 
 class Codes:
-    """How hashes are cut to a bucket and a code of ``width`` bytes; ``bits`` bucket bits."""
+    """How hashes are cut to a bucket and a code of ``width`` bytes; ``bits`` bucket bits, which grow with the blocks.
+    Beyond 16 of them a code has the hash's other bits and takes more than it needs of its bytes."""
 
     def __init__(self, blocks: int, width: int = 6):
         self.width = width
-        self.bits = max(1, min(16, (max(1, blocks) - 1).bit_length()))
-        self.shift = np.uint64(64 - self.bits - 8 * width)
+        self.bits = max(1, min(31, (max(1, blocks) - 1).bit_length()))
+        self.low = np.uint64(min(8 * width, 64 - self.bits))
+        self.shift = np.uint64(64 - self.bits) - self.low
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """Bucket and code in one number, in the order of the hashes."""
@@ -37,22 +39,23 @@ class Codes:
 
     def packed(self, full: np.ndarray) -> tuple[list[int], list[bytes], np.ndarray]:
         """Of sorted numbers: the buckets, each one's codes, and where each bucket's start and end."""
-        buckets = (full >> np.uint64(8 * self.width)).astype(np.int64)
+        buckets = (full >> self.low).astype(np.int64)
         present, first = np.unique(buckets, return_index=True)
         edges = np.append(first, len(full))
-        raw = np.ascontiguousarray(full.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]).tobytes()
+        codes = full & ((np.uint64(1) << self.low) - np.uint64(1))
+        raw = np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.width]).tobytes()
         return present.tolist(), [raw[self.width * a : self.width * b] for a, b in zip(edges[:-1], edges[1:], strict=True)], edges
 
-    @staticmethod
-    def unpacked(blobs: list[bytes], buckets: list[int] | None = None, width: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    def unpacked(self, blobs: list[bytes], buckets: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All blobs' codes, one after another (with their buckets, if given), and the blobs' lengths."""
+        width = self.width
         raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
         out = np.zeros((len(raw), 8), np.uint8)
         out[:, :width] = raw
         lengths = np.fromiter((len(b) // width for b in blobs), np.int64, len(blobs))
         full = out.view("<u8").reshape(-1)
         if buckets is not None and len(full):
-            full = full | (np.repeat(np.array(buckets, np.uint64), lengths) << np.uint64(8 * width))
+            full = full | (np.repeat(np.array(buckets, np.uint64), lengths) << self.low)
         return full, lengths
 
 
@@ -84,7 +87,7 @@ def answers(firsts_: DataFrame, found: DataFrame | None = None) -> DataFrame:
 
 
 def per_block(marked: DataFrame, side: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
-    return marked.groupBy(BLOCK).cogroup(side.groupBy(BLOCK)).applyInArrow(function, schema)
+    return marked.groupBy(BLOCK).cogroup(side.groupBy(BLOCK)).applyInArrow(tidy(function), schema)
 
 
 def first_rows(docs: pa.Table, side: pa.Table) -> np.ndarray:
@@ -116,13 +119,13 @@ def text_pieces(docs: pa.Table, most: int = 1 << 18) -> Iterator[tuple[pa.Table,
         yield (docs.slice(start, stop - start), *arrays.buffer(texts.slice(start, stop - start)))
 
 
-def side_codes(side: pa.Table, width: int = 6) -> tuple[np.ndarray, list[bytes]]:
+def side_codes(side: pa.Table, codes: Codes) -> tuple[np.ndarray, list[bytes]]:
     """The sorted codes the buckets have answered, and what came with them, in that order."""
     buckets = side["bucket"].to_numpy()
     at = np.flatnonzero(buckets >= 0)
     at = at[np.argsort(buckets[at], kind="stable")]
     rows = side.take(pa.array(at))
-    full, _ = Codes.unpacked(rows["codes"].to_pylist(), rows["bucket"].to_pylist(), width)
+    full, _ = codes.unpacked(rows["codes"].to_pylist(), rows["bucket"].to_pylist())
     return full, rows["more"].to_pylist()
 
 
@@ -146,12 +149,12 @@ def cut_at(edges: np.ndarray, values: np.ndarray) -> list[bytes]:
     return [np.ascontiguousarray(values[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def recurring(sent: DataFrame, hot: int) -> DataFrame:
+def recurring(sent: DataFrame, codes: Codes, hot: int) -> DataFrame:
     """Of the codes all blocks sent (more: a byte for each, 2 if it stands in the block twice or more, else 1), those that
     stand twice or more in all, back to the blocks that have them; more: 1 where ``hot`` blocks at least do, else 0."""
 
     def run(rows: pa.Table) -> pa.Table:
-        full, lengths = Codes.unpacked(rows["codes"].to_pylist())
+        full, lengths = codes.unpacked(rows["codes"].to_pylist())
         times = np.frombuffer(b"".join(rows["more"].to_pylist()), np.uint8)
         _, which = np.unique(full, return_inverse=True)
         often = np.bincount(which, weights=times) >= 2
@@ -159,15 +162,15 @@ def recurring(sent: DataFrame, hot: int) -> DataFrame:
         ends = np.cumsum(lengths)
         keep, crowded = often[which], crowd[which].astype(np.uint8)
         raw = np.ascontiguousarray(full.view(np.uint8).reshape(-1, 8)[:, :6])
-        codes, more = [], []
+        blobs, more = [], []
         for a, b in zip(ends - lengths, ends, strict=True):
             mask = keep[a:b]
-            codes.append(raw[a:b][mask].tobytes())
+            blobs.append(raw[a:b][mask].tobytes())
             more.append(crowded[a:b][mask].tobytes())
-        out = pa.table({"bucket": rows["bucket"], BLOCK: rows[BLOCK], "codes": pa.array(codes, pa.binary()), "more": pa.array(more, pa.binary())})
-        return out.filter(pa.array([len(c) > 0 for c in codes], pa.bool_()))
+        out = pa.table({"bucket": rows["bucket"], BLOCK: rows[BLOCK], "codes": pa.array(blobs, pa.binary()), "more": pa.array(more, pa.binary())})
+        return out.filter(pa.array([len(c) > 0 for c in blobs], pa.bool_()))
 
-    return sent.groupBy("bucket").applyInArrow(run, ROWS)
+    return sent.groupBy("bucket").applyInArrow(tidy(run), ROWS)
 
 
 def sent_codes(block: int, found: list[np.ndarray], codes: Codes) -> pa.Table:

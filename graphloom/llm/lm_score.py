@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import arrays, exchange
-from graphloom.llm.common import BLOCK, block_count, extended, written
+from graphloom.llm.common import BLOCK, block_count, extended, tidy, written
 from graphloom.llm.elias_fano import Trie
 from graphloom.llm.exchange import HASH, ID, TEXT, Codes
 
@@ -69,11 +69,11 @@ def _table(kind, bucket, block, blobs, more, distinct, total) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), BLOCK: pa.array(block, pa.int32()), "codes": pa.array(blobs, pa.binary()), "more": pa.array(more, pa.binary()), "n_distinct": pa.array(distinct, pa.int64()), "total": pa.array(total, pa.int64())})
 
 
-def _added(rows: pa.Table) -> pa.Table:
+def _added(rows: pa.Table, by_kind: dict[int, Codes]) -> pa.Table:
     """A bucket's sums, to each block for the codes it sent (pairs: those in the model only), and one row with the
     number of distinct codes and their total."""
     kind = rows["kind"][0].as_py()
-    full, lengths = Codes.unpacked(rows["codes"].to_pylist(), width=WIDTH[kind])
+    full, lengths = by_kind[kind].unpacked(rows["codes"].to_pylist())
     counts = np.frombuffer(b"".join(rows["more"].to_pylist()), "<u4")
     distinct, which = np.unique(full, return_inverse=True)
     sums = np.bincount(which, weights=counts, minlength=len(distinct)).astype("<u8")
@@ -91,9 +91,9 @@ def _added(rows: pa.Table) -> pa.Table:
     return _table([kind] * (n + 1), [bucket] * (n + 1), rows[BLOCK].to_pylist() + [-1], blobs + [b""], more + [b""], [0] * n + [int((sums > 0).sum())], [0] * n + [int(sums.sum())])
 
 
-def _answered(side: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+def _answered(side: pa.Table, kind: int, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
     part = side.filter(pa.array(side["kind"].to_numpy() == kind, pa.bool_())) if side.num_rows else side
-    full, more = exchange.side_codes(part, WIDTH[kind]) if part.num_rows else (np.empty(0, np.uint64), [])
+    full, more = exchange.side_codes(part, codes) if part.num_rows else (np.empty(0, np.uint64), [])
     return full, np.frombuffer(b"".join(more), "<u8").astype(np.float64)
 
 
@@ -127,7 +127,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         sent = [_rows(kind, block, how, *_counted(np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found]))) for kind, how, found in ((1, codes, one), (2, pair_codes, two))]
         return pa.concat_tables(sent)
 
-    answers = written(slim.groupBy(BLOCK).applyInArrow(send, ROWS).groupBy("kind", "bucket").applyInArrow(_added, ROWS))
+    answers = written(slim.groupBy(BLOCK).applyInArrow(tidy(send), ROWS).groupBy("kind", "bucket").applyInArrow(tidy(lambda rows: _added(rows, {1: codes, 2: pair_codes})), ROWS))
     known = answers.where((F.col(BLOCK) == -1) & (F.col("kind") == 1)).agg(F.sum("total"), F.sum("n_distinct")).first()
     n_train, n_distinct = int(known[0] or 0), int(known[1] or 0)
     whole = np.log10(n_train + n_distinct + 1)
@@ -137,8 +137,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     passed = [f.name for f in schema.fields[: -len(fields)]]
 
     def judge(rows: pa.Table, side: pa.Table) -> pa.Table:
-        words, times = _answered(side, 1)
-        in_model, pair_times = _answered(side, 2)
+        words, times = _answered(side, 1, codes)
+        in_model, pair_times = _answered(side, 2, pair_codes)
         contexts, follows, seen = [], [], []
         texts = []
         for _, data, offsets in exchange.text_pieces(rows):

@@ -2,7 +2,8 @@
 
 A document is a weighted set of 5-word shingles: term frequency times inverse document frequency. Two documents agree
 on a consistent sample with the probability of their weighted Jaccard similarity. Samples are banded into buckets;
-pairs from buckets are verified by the exact similarity of the whole texts; links join into classes.
+pairs from buckets are verified by the exact similarity of the whole texts; links join into classes. What buckets then
+leave undecided is joined exactly, by weighted prefixes.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrays
-from graphloom.llm.common import bytes_of, pieces, written
+from graphloom.llm.common import bytes_of, pieces, released, written
 from graphloom.llm.components import components
 
-#: Bytes of a table that is broadcast, at most; leaders that a round takes from an undecided bucket.
-BROADCAST_BYTES, LEADERS = 16 << 20, 8
+#: Bytes of a table that is broadcast, at most.
+BROADCAST_BYTES = 4 << 20
 #: Counters that order shingles by frequency in the exact join; members of a posting that are joined in one cell.
-SLOTS, CELL = 1 << 22, 256
-_EXPONENTIAL = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16))
+SLOTS, CELL = 1 << 22, 1024
+#: Documents, or distinct shingles, whose counts a task adds up before it sends the frequent ones.
+FLUSH_DOCUMENTS, FLUSH_SHINGLES = 8192, 1 << 21
+#: A row without an id goes by a number from here on that its text gives; ids are smaller.
+NO_ID = 1 << 62
 
 
 def _gamma_quantiles(size: int) -> np.ndarray:
@@ -37,30 +41,33 @@ def _gamma_quantiles(size: int) -> np.ndarray:
 
 
 _GAMMA = _gamma_quantiles(1 << 14)
+_LOG_GAMMA = np.log(_gamma_quantiles(1 << 17))
 
 
 @dataclasses.dataclass(frozen=True)
 class Sampling:
     """Words of a shingle, least similarity, bands and samples of each; the share of documents up to which a shingle
-    has the full inverse document frequency. With 10 bands of 2, a pair at similarity 0.8 shares a bucket with
-    probability 1 - (1 - 0.64) ** 10 = 0.99996."""
+    has the full inverse document frequency, and the power it is damped by. With 10 bands of 2, a pair at similarity
+    0.8 shares a bucket with probability 1 - (1 - 0.64) ** 10 = 0.99996."""
 
     shingle: int = 5
     similarity: float = 0.8
     bands: int = 10
     rows: int = 2
-    common: float = 0.1
+    common: float = 0.001
+    damping: float = 1 / 3
 
 
 class Frequent:
-    """Inverse document frequencies: log(1 + n / df), not above its value at the share ``common`` of the documents, and
-    scaled to 1 there. So only shingles in more than that share need an entry, and their number is bounded: by the mean
-    number of shingles of a document over ``common``."""
+    """Inverse document frequencies: (log(1 + n / df) / log(1 + 1 / common)) ** damping, 1 at most. So only shingles in
+    more than the share ``common`` of the documents need an entry, and the number of these is bounded: by the mean
+    number of shingles of a document over ``common``. Damped, since a large group of near copies makes its own shingles
+    frequent and its few edits rare, and would by plain logarithms fall apart by its size."""
 
-    def __init__(self, counts: dict[int, int], documents: int, common: float):
-        chosen = sorted((h, n) for h, n in counts.items() if n > common * documents)
-        self.hashes = np.array([h for h, _ in chosen], np.uint64)
-        self.idf = np.log1p(documents / np.array([n for _, n in chosen], float)) / np.log1p(1 / common)
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, documents: int, settings: Sampling):
+        chosen = counts > settings.common * documents
+        self.hashes = hashes[chosen]
+        self.idf = (np.log1p(documents / np.maximum(counts[chosen], 1)) / np.log1p(1 / settings.common)) ** settings.damping
 
     def weights(self, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
         out = times.astype(np.float64)
@@ -103,14 +110,14 @@ def consistent_samples(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray,
     log_weight = np.log(weights)
     plain = not log_weight.any()
     out = np.empty((len(first), count), np.uint64)
-    low14, low16 = np.uint64((1 << 14) - 1), np.uint64((1 << 16) - 1)
+    low14, low17 = np.uint64((1 << 14) - 1), np.uint64((1 << 17) - 1)
     for k in range(count):
         draw = arrays.mix(hashes + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         r = _GAMMA[(draw & low14).view(np.int64)]
-        b = ((draw >> np.uint64(14)) & low16).astype(np.float64) * (1 / (1 << 16))
-        c = _EXPONENTIAL[((draw >> np.uint64(30)) & low16).view(np.int64)] + _EXPONENTIAL[(draw >> np.uint64(48)).view(np.int64)]
+        b = ((draw >> np.uint64(14)) & low17).astype(np.float64) * (1 / (1 << 17))
+        c = _LOG_GAMMA[(draw >> np.uint64(47)).view(np.int64)]
         t = np.zeros(len(r)) if plain else np.floor(log_weight / r + b)
-        value = np.log(c) - r * (t - b + 1)
+        value = c - r * (t - b + 1)
         least = np.minimum.reduceat(value, first)
         hit = np.flatnonzero(value == np.repeat(least, sizes))
         where = np.searchsorted(hit, first)
@@ -122,48 +129,64 @@ def consistent_samples(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray,
 def frequencies(texts: DataFrame, settings: Sampling) -> tuple[Frequent, int]:
     """Exact document frequencies, over all rows of texts (text), of the shingles in more than the share ``common``.
 
-    First each piece of documents sends the shingles in a quarter of that share of its documents: a shingle above the
+    First each run of documents sends the shingles in a quarter of that share of its documents: a shingle above the
     share cannot fall short of three quarters of it in the sums. Those that reach that are counted exactly.
     """
     quarter = settings.common / 4
 
+    def frequent(values: list, counts: list, documents: int):
+        value, which = np.unique(np.concatenate(values), return_inverse=True)
+        n = np.bincount(which, weights=np.concatenate(counts), minlength=len(value)).astype(np.int64)
+        some = n >= quarter * documents
+        yield pa.RecordBatch.from_pydict({"hash": value[some].view(np.int64), "n": n[some], "rows": np.zeros(int(some.sum()), np.int64)})
+        yield pa.RecordBatch.from_pydict({"hash": pa.array([0], pa.int64()), "n": pa.array([0], pa.int64()), "rows": pa.array([documents], pa.int64())})
+
     def send(batches):
+        values, counts, documents, held = [], [], 0, 0
         for batch in batches:
             column = batch.column(0)
-            for start, stop in pieces(column, 4 << 20):
-                data, offsets = arrays.buffer(column.slice(start, stop - start))
-                doc, hashes, _ = shingles(data, offsets, settings.shingle)
+            for start, stop in pieces(column, 2 << 20):
+                _, hashes, _ = shingles(*arrays.buffer(column.slice(start, stop - start)), settings.shingle)
                 value, n = np.unique(hashes, return_counts=True)
-                some = n >= quarter * (stop - start)
-                yield pa.RecordBatch.from_pydict({"hash": value[some].view(np.int64), "n": n[some].astype(np.int64), "rows": np.zeros(int(some.sum()), np.int64)})
-                yield pa.RecordBatch.from_pydict({"hash": pa.array([0], pa.int64()), "n": pa.array([0], pa.int64()), "rows": pa.array([stop - start], pa.int64())})
+                values.append(value)
+                counts.append(n)
+                documents, held = documents + stop - start, held + len(value)
+                if documents >= FLUSH_DOCUMENTS or held >= FLUSH_SHINGLES:
+                    yield from frequent(values, counts, documents)
+                    values, counts, documents, held = [], [], 0, 0
+        if documents:
+            yield from frequent(values, counts, documents)
+        values.clear()
+        released()
 
     sent = texts.select("text").mapInArrow(send, "hash bigint, n bigint, rows bigint")
     summed = written(sent.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")))
     documents = summed.agg(F.sum("rows")).first()[0] or 0
     # at most (mean shingles of a document) / (0.75 common) of them
-    likely = np.array(sorted(r[0] for r in summed.where(F.col("n") >= 3 * quarter * documents).where("n > 0").select("hash").collect()), np.int64).view(np.uint64)
-    likely = np.sort(likely)
+    likely = np.sort(summed.where((F.col("n") >= 3 * quarter * documents) & (F.col("n") > 0)).select("hash").toArrow()["hash"].to_numpy().view(np.uint64))
     if not len(likely):
-        return Frequent({}, documents, settings.common), documents
+        return Frequent(likely, np.empty(0, np.int64), documents, settings), documents
 
     def count(batches):
         total = np.zeros(len(likely), np.int64)
         for batch in batches:
             column = batch.column(0)
-            for start, stop in pieces(column, 4 << 20):
-                data, offsets = arrays.buffer(column.slice(start, stop - start))
-                _, hashes, _ = shingles(data, offsets, settings.shingle)
+            for start, stop in pieces(column, 2 << 20):
+                _, hashes, _ = shingles(*arrays.buffer(column.slice(start, stop - start)), settings.shingle)
                 at = np.minimum(np.searchsorted(likely, hashes), len(likely) - 1)
                 total += np.bincount(at[likely[at] == hashes], minlength=len(likely))
-        yield pa.RecordBatch.from_pydict({"hash": likely.view(np.int64), "n": total})
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"hash": likely[found].view(np.int64), "n": total[found]})
+        released()
 
-    counted = texts.select("text").mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-    return Frequent({r.hash & (1 << 64) - 1: r.n for r in counted.collect()}, documents, settings.common), documents
+    counted = texts.select("text").mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).toArrow()
+    hashes, counts = counted["hash"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+    order = np.argsort(hashes)
+    return Frequent(hashes[order], counts[order], documents, settings), documents
 
 
 def sketches(texts: DataFrame, frequent: Frequent, settings: Sampling) -> DataFrame:
-    """id and one key for each band, for the rows of texts (id, text) that have words."""
+    """id, the whole weight, and one key for each band, for the rows of texts (id, text) that have words."""
 
     def run(batches):
         for batch in batches:
@@ -171,86 +194,106 @@ def sketches(texts: DataFrame, frequent: Frequent, settings: Sampling) -> DataFr
             for start, stop in pieces(column, 1 << 20):
                 data, offsets = arrays.buffer(column.slice(start, stop - start))
                 doc, hashes, times = shingles(data, offsets, settings.shingle)
-                found, samples = consistent_samples(doc, hashes, frequent.weights(hashes, times), settings.bands * settings.rows)
+                weights = frequent.weights(hashes, times)
+                found, samples = consistent_samples(doc, hashes, weights, settings.bands * settings.rows)
                 keys = np.zeros((len(found), settings.bands), np.uint64)
                 for row in range(settings.rows):
                     keys = arrays.mix(keys * np.uint64(0x9E3779B97F4A7C15) + samples[:, row :: settings.rows])
                 ids = batch.column("id").slice(start, stop - start).take(pa.array(found))
+                whole = np.bincount(doc, weights=weights, minlength=stop - start)[found]
                 flat = pa.array(np.ascontiguousarray(keys).reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * settings.bands), flat)], names=["id", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * settings.bands), flat)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(whole), lists], names=["id", "whole", "keys"])
+        released()
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, keys array<bigint>")
+    return texts.select("id", "text").mapInArrow(run, "id bigint, whole double, keys array<bigint>")
 
 
-def similarity(one: str, other: str, frequent: Frequent, size: int) -> float:
-    """Weighted Jaccard similarity of two texts; 0 if neither has a word."""
-    doc, hashes, times = shingles(*arrays.buffer(pa.array([one, other], pa.string())), size)
+def similarities(ones: pa.Array, others: pa.Array, frequent: Frequent, size: int) -> np.ndarray:
+    """Weighted Jaccard similarity of each pair of texts; 0 where one has no word."""
+    n = len(ones)
+    doc, hashes, times = shingles(*arrays.buffer(pa.concat_arrays([ones, others])), size)
     weights = frequent.weights(hashes, times)
-    split = int(np.searchsorted(doc, 1))
-    a, b = hashes[:split], hashes[split:]
-    if not len(a) or not len(b):
-        return 0.0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    shared = b[at] == a
-    least = float(np.minimum(weights[:split][shared], weights[split:][at[shared]]).sum())
-    return least / (float(weights.sum()) - least)
+    whole = np.bincount(doc, weights=weights, minlength=2 * n)
+    pair = np.where(doc < n, doc, doc - n)
+    order = np.lexsort((hashes, pair))
+    pair, hashes, weights = pair[order], hashes[order], weights[order]
+    both = np.flatnonzero((pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1]))
+    least = np.bincount(pair[both], weights=np.minimum(weights[both], weights[both + 1]), minlength=n)
+    either = whole[:n] + whole[n:] - least
+    return np.where((whole[:n] > 0) & (whole[n:] > 0), least / np.maximum(either, 1e-300), 0.0)
+
+
+def similarity(one: str, other: str, frequent: Frequent, size: int) -> float:
+    """Weighted Jaccard similarity of two texts; 0 if either has no word."""
+    return float(similarities(pa.array([one], pa.string()), pa.array([other], pa.string()), frequent, size)[0])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, frequent: Frequent, settings: Sampling) -> DataFrame:
     """The pairs (u, v) with their similarity over whole texts. Texts that no pair names don't move."""
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    needed = texts.join(F.broadcast(ids) if bytes_of(pairs) <= BROADCAST_BYTES else ids, "id", "left_semi")
+    needed = texts.join(_small(ids, pairs, 16), "id", "left_semi")
     joined = pairs.join(needed.select(F.col("id").alias("u"), F.col("text").alias("one")), "u").join(needed.select(F.col("id").alias("v"), F.col("text").alias("other")), "v")
 
     def run(batches):
         for batch in batches:
             ones, others = batch.column("one"), batch.column("other")
-            found = [similarity(ones[i].as_py(), others[i].as_py(), frequent, settings.shingle) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(found, pa.float64())], names=["u", "v", "similarity"])
+            at = 0
+            for start, stop in pieces(ones, 1 << 18):
+                while at < stop:  # both sides within bounds
+                    size = max(1, next(pieces(others.slice(at, stop - at), 1 << 18))[1])
+                    found = similarities(ones.slice(at, size), others.slice(at, size), frequent, settings.shingle)
+                    yield pa.RecordBatch.from_arrays([batch.column("u").slice(at, size), batch.column("v").slice(at, size), pa.array(found)], names=["u", "v", "similarity"])
+                    at += size
+        released()
 
     found = joined.select("u", "v", "one", "other").mapInArrow(run, "u bigint, v bigint, similarity double")
     return found.groupBy("u", "v").agg(F.max("similarity").alias("similarity"))  # an id may have repeated rows
 
 
+def _alike(u: str, v: str, settings: Sampling):
+    """Whether two whole weights allow the least similarity at all."""
+    return F.least(u, v) >= settings.similarity * (1 - 1e-9) * F.greatest(u, v)
+
+
 def _neighbours(sketched: DataFrame, settings: Sampling) -> DataFrame:
     """Pairs of documents that stand side by side in a bucket, in order of the keys of the bands that follow.
 
     A range partitioning by key, following keys and id deals a large bucket to many tasks; where a partition ends, the
     bucket's leader still links both sides.
     """
-    turned = sketched.select("id", F.posexplode("keys").alias("band", "key"), F.col("keys")).select(
-        "id", "band", "key", *[F.get("keys", F.pmod(F.col("band") + i, F.lit(settings.bands))).alias(f"k{i}") for i in (1, 2, 3)])
+    turned = sketched.select("id", "whole", F.posexplode("keys").alias("band", "key"), F.col("keys")).select(
+        "id", "whole", "band", "key", *[F.get("keys", F.pmod(F.col("band") + i, F.lit(settings.bands))).alias(f"k{i}") for i in (1, 2, 3)])
     order = ["band", "key", "k1", "k2", "k3", "id"]
     ranged = turned.repartitionByRange(*order).sortWithinPartitions(*order)
+    least = settings.similarity * (1 - 1e-9)
 
     def run(batches):
         last = None
         for batch in batches:
-            band, key, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "id"))
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key", "id", "whole")]
             if last is not None:
-                band, key, ids = (np.concatenate([[x], y]) for x, y in zip(last, (band, key, ids), strict=True))
+                columns = [np.concatenate([[x], y]) for x, y in zip(last, columns, strict=True)]
+            band, key, ids, whole = columns
             same = (band[1:] == band[:-1]) & (key[1:] == key[:-1]) & (ids[1:] != ids[:-1])
+            same &= np.minimum(whole[1:], whole[:-1]) >= least * np.maximum(whole[1:], whole[:-1])
             yield pa.RecordBatch.from_pydict({"u": np.minimum(ids[1:], ids[:-1])[same].astype(np.int64), "v": np.maximum(ids[1:], ids[:-1])[same].astype(np.int64)})
             if len(ids):
-                last = band[-1], key[-1], ids[-1]
+                last = band[-1], key[-1], ids[-1], whole[-1]
 
     return ranged.mapInArrow(run, "u bigint, v bigint")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its size is within the bound; beyond it a join shuffles."""
-    return F.broadcast(df) if bytes_of(df) <= BROADCAST_BYTES else df
+def _small(df: DataFrame, counted: DataFrame, width: int) -> DataFrame:
+    """df, to be broadcast if its rows are within the bound, which ``counted`` (a written table that df has at most two
+    rows for each row of) tells; beyond it a join shuffles. A row takes ``width`` bytes, twice that in a hash table."""
+    return F.broadcast(df) if counted.count() * 4 * width <= BROADCAST_BYTES else df
 
 
 def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     """df with its labels replaced by those they belong to."""
-    return df.join(_small(labels.select(F.col("node").alias("label"), F.col("label").alias("__to"))), "label", "left").withColumn("label", F.coalesce("__to", "label")).drop("__to")
-
-
-def _undecided(known: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one class."""
-    several = known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
-    return written(known.join(several, ["band", "key"], "left_semi"))
+    to = labels.select(F.col("node").alias("label"), F.col("label").alias("__to"))
+    return df.join(_small(to, labels, 16), "label", "left").withColumn("label", F.coalesce("__to", "label")).drop("__to")
 
 
 def _ordered(texts: DataFrame, settings: Sampling) -> np.ndarray:
@@ -260,13 +303,15 @@ def _ordered(texts: DataFrame, settings: Sampling) -> np.ndarray:
     def run(batches):
         for batch in batches:
             column = batch.column("text")
-            for start, stop in pieces(column, 1 << 20):
+            for start, stop in pieces(column, 2 << 20):
                 _, hashes, _ = shingles(*arrays.buffer(column.slice(start, stop - start)), settings.shingle)
                 slot, n = np.unique(hashes & np.uint64(SLOTS - 1), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"slot": slot.astype(np.int32), "n": n.astype(np.int64)})
+        released()
 
-    counted = texts.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int32)
+    # counters of one are as good as none: whatever isn't seen twice is in no other text
+    counted = texts.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).where("n > 1").toArrow()
+    out = np.ones(SLOTS, np.int32)
     out[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     return out
 
@@ -296,77 +341,69 @@ def _prefixes(texts: DataFrame, frequent: Frequent, settings: Sampling) -> DataF
                 keep = (rest >= least * whole[doc] - 1e-9 * sums[-1]) & (seen > 1)
                 at = pa.array(doc[keep])
                 yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("label").take(at), pa.array(hashes[keep].view(np.int64)), pa.array(rest[keep] + 1e-9 * sums[-1]), pa.array(whole[doc[keep]])], names=["id", "label", "hash", "rest", "whole"])
+        released()
 
     return texts.select("id", "label", "text").mapInArrow(run, "id bigint, label bigint, hash bigint, rest double, whole double")
 
 
 def _exact(waiting: DataFrame, texts: DataFrame, frequent: Frequent, settings: Sampling) -> DataFrame:
     """All pairs (u, v) of the waiting (id, label) at the least similarity whose labels differ, by an exact weighted
-    prefix join. A long posting is dealt to cells of two parts each, so no task has more of it than two parts."""
-    members = waiting.select("id", "label").distinct()
-    found = written(_prefixes(written(texts.join(_small(members), "id")), frequent, settings))
-    postings = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    parts = F.ceil(F.col("n") / CELL).cast("int")
-    dealt = found.join(postings.select("hash", parts.alias("parts")), "hash").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    cells = written(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "hash", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "part", "id", "label", "rest", "whole"))
-    u, v = cells.alias("u"), cells.alias("v")
+    prefix join. In each posting, members of other labels than its most frequent one meet all members, so one large
+    class costs no pairs within itself; a long posting is dealt to cells of a bounded number of members."""
+    found = written(_prefixes(written(texts.join(_small(waiting, waiting, 16), "id")), frequent, settings))
+    by_label = found.groupBy("hash", "label").agg(F.count("*").alias("n"))
+    postings = by_label.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("major")).where("labels > 1")
+    dealt = written(found.join(postings.select("hash", "major", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "hash"))
+    v = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("v")
+    u = dealt.where("label <> major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("u")
     share = settings.similarity / (1 + settings.similarity) * (1 - 1e-9)
-    meets = (F.col("u.id") < F.col("v.id")) & (F.col("u.label") != F.col("v.label")) & ((F.col("u.part") != F.col("v.part")) | (F.col("u.a") == F.col("u.b")))
+    meets = (F.col("u.label") != F.col("v.label")) & ((F.col("v.label") == F.col("v.major")) | (F.col("u.id") < F.col("v.id"))) & _alike("u.whole", "v.whole", settings)
     enough = F.least("u.rest", "v.rest") >= share * (F.col("u.whole") + F.col("v.whole"))
-    same = [F.col(f"u.{c}") == F.col(f"v.{c}") for c in ("hash", "a", "b")]
-    pairs = written(u.join(v, same[0] & same[1] & same[2] & meets & enough).select(F.col("u.id").alias("u"), F.col("v.id").alias("v")).distinct())
+    same = (F.col("u.hash") == F.col("v.hash")) & (F.col("u.part") == F.col("v.part"))
+    pairs = written(u.join(v, same & meets & enough).select(F.least("u.id", "v.id").alias("u"), F.greatest("u.id", "v.id").alias("v")).distinct())
     return verified(pairs, texts, frequent, settings).where(F.col("similarity") >= settings.similarity).select("u", "v")
 
 
 def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, kept) for each row of docs: the smallest id of its class, the links to different
-    texts that the comparisons below have verified for its text, and whether it is that document.
+    """(doc_id, class_id, n_links, kept, text_md5) for each row of docs: the smallest id of its class, the links to
+    different texts that the comparisons below have verified for its text, whether it is that document, and the hash
+    that tells texts of one id apart.
 
     Texts that are equal form a class at once and go on as one, the copy with the smallest id. In each bucket every
     text is compared with a leader and with its neighbours in sketch order, so pairs grow with the bucket's size, not
-    its square; then, as long as buckets hold more than one class and a round finds a link, the members of such buckets
-    with eight other leaders, each of another class. What is left in buckets of several classes after that is joined
-    exactly, so no link between texts that share a bucket is missed.
+    its square. What buckets of several classes are left with is joined exactly, so no link between texts that share a
+    bucket is missed.
     Words are separated by white space, A-Z in lower case; a text of fewer than five words is one shingle. Texts
-    without words are like equal texts only. Null texts and rows without an id are classes of their own (class_id is
-    the id). Rows of one id are one document. An empty table gives an empty one; further columns are not read.
+    without words are like equal texts only. Null texts are classes of their own (class_id is the id). Rows without an
+    id belong to classes by their text; a class of such rows only has a null class_id and keeps one text. Rows of one
+    id and text are treated alike, ids are below 2 ** 62. An empty table gives an empty one; further columns are not
+    read.
     """
     settings = settings or Sampling()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    usable = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("id"), "text", F.md5(F.col("text").cast("binary")).alias("m"))
+    md5 = F.md5(F.col(text_col).cast("binary"))
+    number = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID).bitwiseOR(F.xxhash64(text_col).bitwiseAND(F.lit(NO_ID - 1))))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), number.alias("id"), md5.alias("m"))
+    usable = rows.where(F.col("text").isNotNull())
     first = usable.groupBy("m").agg(F.min("id").alias("first"))
-    texts = written(usable.join(first.select(F.col("first").alias("id"), "m"), ["id", "m"], "left_semi").select("id", "text"))
+    texts = written(usable.select("id", "m", "text").join(first.select(F.col("first").alias("id"), "m"), ["id", "m"], "left_semi").select("id", "text"))
     frequent, _ = frequencies(texts, settings)
     sketched = written(sketches(texts, frequent, settings))
-    buckets = sketched.select("id", F.posexplode("keys").alias("band", "key"))
-    crowded = written(buckets.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"))
-    members = written(buckets.join(crowded.select("band", "key", "leader"), ["band", "key"]))
-    led = members.where("id <> leader").select(F.col("leader").alias("u"), F.col("id").alias("v"))
+    buckets = sketched.select("id", "whole", F.posexplode("keys").alias("band", "key"))
+    crowded = buckets.groupBy("band", "key").agg(F.min(F.struct("id", "whole")).alias("leader"), F.count("*").alias("n")).where("n > 1")
+    members = written(buckets.join(crowded.select("band", "key", "leader"), ["band", "key"]).select("band", "key", "id", "whole", "leader"))
+    led = members.where((F.col("id") != F.col("leader.id")) & _alike("whole", "leader.whole", settings)).select(F.col("leader.id").alias("u"), F.col("id").alias("v"))
     pairs = written(led.union(_neighbours(sketched, settings)).distinct())
-    tested = written(verified(pairs, texts, frequent, settings))
-    links = tested.where(F.col("similarity") >= settings.similarity).select("u", "v")
-    known = _labelled(members.select("band", "key", "id", F.col("id").alias("label")), written(components(links)))
-    waiting = _undecided(known)
-    turn = 0
-    while not waiting.isEmpty():
-        turn += 1
-        leaders = waiting.groupBy("band", "key").agg(F.array(*[F.min(F.struct(F.xxhash64("id", F.lit(turn * LEADERS + j)).alias("o"), "id", "label")) for j in range(LEADERS)]).alias("l"))
-        led = waiting.join(_small(leaders.select("band", "key", F.explode(F.array_distinct(F.col("l"))).alias("l"))), ["band", "key"]).where("label <> l.label")
-        sides = led.select(F.least("id", "l.id").alias("u"), F.greatest("id", "l.id").alias("v"), F.when(F.col("id") < F.col("l.id"), F.col("label")).otherwise(F.col("l.label")).alias("lu"), F.when(F.col("id") < F.col("l.id"), F.col("l.label")).otherwise(F.col("label")).alias("lv"))
-        asked = written(sides.distinct())
-        found = written(asked.join(_small(verified(asked.select("u", "v"), texts, frequent, settings).where(F.col("similarity") >= settings.similarity).select("u", "v")), ["u", "v"]))
-        if found.isEmpty():
-            links = links.union(written(_exact(waiting, texts, frequent, settings)))
-            break
-        links = links.union(found.select("u", "v"))
-        # each label takes the least it is linked to: enough to see what is left; classes are found once, at the end
-        both = found.select(F.col("lu").alias("node"), F.col("lv").alias("to")).union(found.select("lv", "lu"))
-        nearest = written(both.groupBy("node").agg(F.min("to").alias("label")).where("label < node"))
-        waiting = _undecided(_labelled(waiting, nearest))
-    per_text = links.distinct().select(F.explode(F.array("u", "v")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
-    by_text = _labelled(first.withColumn("label", F.col("first")), written(components(links)))
-    by_text = by_text.join(_small(per_text), "first", "left").select("m", "label", "n_links")
-    keyed = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.md5(F.col("text").cast("binary"))).alias("m"))
-    class_id = F.coalesce("label", F.col("doc_id").cast("bigint"))
-    return keyed.join(by_text, "m", "left").select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+    links = written(verified(pairs, texts, frequent, settings).where(F.col("similarity") >= settings.similarity).select("u", "v"))
+    labels = components(links)
+    known = written(_labelled(members.select("band", "key", "id", F.col("id").alias("label")), labels))
+    several = known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
+    waiting = written(known.join(several, ["band", "key"], "left_semi").select("id", "label").distinct())
+    more = written(_exact(waiting, texts, frequent, settings))
+    links = links.union(more)
+    per_text = links.select(F.explode(F.array("u", "v")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
+    by_text = _labelled(first.withColumn("label", F.col("first")), components(links))
+    by_text = by_text.join(per_text, "first", "left").select("m", "label", "n_links")
+    given = F.when(F.col("label") < NO_ID, F.col("label"))
+    class_id = F.when(F.col("label").isNull(), F.col("doc_id").cast("bigint")).otherwise(given)
+    kept = F.col("label").isNull() | (F.col("label") == F.col("id"))
+    return rows.select("doc_id", "id", "m").join(by_text, "m", "left").select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), kept.alias("kept"), F.col("m").alias("text_md5"))

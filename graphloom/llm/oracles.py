@@ -36,7 +36,7 @@ w as (select id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') as w from t),
 sh as (select id, g, count(*)::double as tf from (
     select id, array_to_string(list_slice(w, s, s + 4), ' ') as g from (select id, w, unnest(range(1, len(w) - 3)) as s from w where len(w) >= 5)
     union all select id, array_to_string(w, ' ') from w where len(w) between 1 and 4) group by id, g),
-df as (select g, least(1, ln(1 + (select count(*) from t)::double / count(*)) / ln(11)) as idf from sh group by g),
+df as (select g, least(1, ln(1 + (select count(*) from t)::double / count(*)) / ln(1001)) ^ (1.0::double / 3) as idf from sh group by g),
 v as (select id, g, tf * idf as x from sh join df using (g)),
 total as (select id, sum(x) as x from v group by id),
 pairs as (select a.id as u, b.id as v, sum(least(a.x, b.x)) as m from v a join v b on a.g = b.g and a.id < b.id group by all),

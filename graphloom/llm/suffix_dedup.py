@@ -202,11 +202,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = exchange.one_each(rows, exchange.first_rows(rows, side))
         return exchange.sent_codes(rows[BLOCK][0].as_py(), [_anchors(d, o)[1] for _, d, o in exchange.text_pieces(own)], codes)
 
-    confirmed = exchange.recurring(exchange.per_block(marked, answers(first), send_anchors, ROWS), HOT_BLOCKS)
+    confirmed = exchange.recurring(exchange.per_block(marked, answers(first), send_anchors, ROWS), codes, HOT_BLOCKS)
     sent = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("before", pa.int32()), ("context", pa.binary()), ("done", pa.bool_())])
 
     def send_contexts(rows: pa.Table, side: pa.Table) -> pa.Table:
-        known, more = exchange.side_codes(side)
+        known, more = exchange.side_codes(side, codes)
         if not rows.num_rows or not len(known):
             return sent.empty_table()
         hot = np.frombuffer(b"".join(more), np.uint8)

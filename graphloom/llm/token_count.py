@@ -20,8 +20,8 @@ from graphloom.llm import arrays
 from graphloom.llm.common import append_columns
 from graphloom.llm.pretokens import split
 
-#: Distinct pre-tokens whose counts a task keeps, at most; beyond it a new generation starts.
-CACHE_WORDS = 1_000_000
+#: Distinct pre-tokens whose counts a task keeps, at most; with the task they go.
+CACHE_WORDS = 200_000
 NONE = np.int64(1) << 40
 
 
@@ -51,7 +51,9 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.results = keys[order], order.astype(np.int64), results
         self.cache: dict[int, int] = {}
-        self.older: dict[int, int] = {}
+
+    def forget(self) -> None:
+        self.cache = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair; NONE where there is no merge."""
@@ -129,16 +131,18 @@ class WordBpe:
         begin, end = split(data, offsets, spaced=False)
         hashes = arrays.spans_hash(arrays.bytes_prefix(data), begin, end)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache, self.older = {}, self.cache
         keys = distinct.tolist()
-        cache, older = self.cache, self.older
-        found = [cache.get(h) or older.get(h, 0) for h in keys]
+        cache = self.cache
+        found = [cache.get(h, 0) for h in keys]
         new = np.flatnonzero(np.array(found, np.int64) == 0)
         counts = np.array(found, np.int64)
         if len(new):
             counts[new] = self.merge(data, begin[first[new]], (end - begin)[first[new]])
-        cache.update(zip(keys, counts.tolist(), strict=True))
+        room = CACHE_WORDS - len(cache)
+        if room > 0 and len(new):  # the most frequent ones first
+            times = np.bincount(which, minlength=len(keys))[new]
+            chosen = new[np.argsort(-times, kind="stable")[:room]]
+            cache.update(zip(distinct[chosen].tolist(), counts[chosen].tolist(), strict=True))
         sums = np.concatenate([[0], np.cumsum(counts[which])])
         per_part = np.diff(sums[np.searchsorted(begin, offsets)])
         parts = np.concatenate([[0], np.cumsum(per_part)])
@@ -160,6 +164,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text_col:
 
     def make():
         bpe = load(vocabulary)
+        bpe.forget()
 
         def run(texts: pa.Array) -> dict[str, pa.Array]:
             _, offsets = arrays.buffer(texts)
@@ -168,4 +173,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, text_col:
 
         return run
 
-    return append_columns(docs, make, [("n_bytes", "bigint"), ("n_tokens", "bigint"), ("over_limit", "boolean")], text_col)
+    return append_columns(docs, make, [("n_bytes", "bigint"), ("n_tokens", "bigint"), ("over_limit", "boolean")], text_col, piece_bytes=2 << 20, done=lambda: load(vocabulary).forget())

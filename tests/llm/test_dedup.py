@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import arrays, near_dedup, substring_dedup, suffix_dedup
@@ -44,10 +45,23 @@ def test_repeated_passages(docs, rows, none):
 
 
 def test_automata_locate_all_occurrences_over_shards():
-    phrases = np.array([[1, 2, 3], [2, 3, 4], [9, 9, 9]])
-    machines = substring_dedup.automata(phrases, shard=2)
-    assert len(machines) == 2
-    assert substring_dedup.occurrences(machines, np.array([1, 2, 3, 4, 9, 9, 9, 9, 1, 2, 3])).tolist() == [2, 3, 6, 7, 10]
+    tiles = np.array([[1, 2, 3], [2, 3, 4], [9, 9, 9]])
+    text = np.array([1, 2, 3, 4, 9, 9, 9, 9, 1, 2, 3])
+    found = [list(zip(*(x.tolist() for x in substring_dedup.occurrences(machine, text)), strict=True)) for machine in substring_dedup.automata(tiles, shard=2)]
+    assert found == [[(2, 0), (3, 1), (10, 0)], [(6, 2), (7, 2)]]
+
+
+def test_automata_decide(docs, rows, monkeypatch):
+    """Without what the automata locate nothing but whole copies is removed."""
+    monkeypatch.setattr(substring_dedup, "occurrences", lambda machine, numbers: (np.empty(0, np.int64),) * 2)
+    assert sum(r.n_removed for r in substring_dedup.remove_repeats(docs).collect()) < sum(x[2] for x in _removed_words(rows))
+
+
+def test_words_decide_where_hashes_clash(monkeypatch):
+    left, right = [f"a{i}" for i in range(120)], [f"a{i}" for i in range(120)]
+    right[60] = "other"
+    one, other = (substring_dedup._Words(*arrays.buffer(pa.array([" ".join(x)]))) for x in (left, right))
+    assert list(substring_dedup._verified(one, 0, other, 0, 120)) == [(0, 60), (61, 120)]
 
 
 def test_equal_windows_share_an_anchor():
@@ -122,11 +136,11 @@ def _shingles(text):
 def test_near_copies(docs, rows, none):
     got = near_dedup.classes(docs).collect()
     assert len(got) == len(rows)
-    texts = {d: t for d, t, *_ in rows if d is not None and t is not None}
+    texts = {LAST if d is None else d: t for d, t, *_ in rows if t is not None}  # one text is without an id
     sets = {d: _shingles(t) for d, t in texts.items()}
     n = len({t for t in texts.values()})
     df = Counter(s for t in set(texts.values()) for s in _shingles(t))
-    idf = {s: min(1.0, np.log1p(n / k) / np.log1p(10)) for s, k in df.items()}
+    idf = {s: min(1.0, np.log1p(n / k) / np.log1p(1000)) ** (1 / 3) for s, k in df.items()}
     label = {d: d for d in texts}
 
     def top(d):
@@ -143,7 +157,9 @@ def test_near_copies(docs, rows, none):
                 x, y = top(a), top(b)
                 label[max(x, y)] = min(x, y)
     for r in got:
-        assert r.class_id == (top(r.doc_id) if r.doc_id in texts else r.doc_id), r.doc_id
+        own = [t for d, t, *_ in rows if d == r.doc_id and (t is None) == (r.text_md5 is None)][0]
+        assert r.class_id == (r.doc_id if own is None else top(LAST if r.doc_id is None else r.doc_id)), r.doc_id
+        assert r.kept == (own is None or r.class_id == r.doc_id)
     assert sum(r.kept for r in got) < len(got) - 15
     assert near_dedup.classes(none).count() == 0
 

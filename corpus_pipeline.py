@@ -27,9 +27,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that of the smallest id."""
-    kept = near_dedup.classes(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each class of near copies: of the smallest id that has the class's first text. Null texts stay.
+
+    Rows are told apart by id and text; where a row is repeated, one stays. Columns of docs are returned as they are;
+    an empty table gives an empty one.
+    """
+    md5 = F.md5(F.col("text").cast("binary"))
+    kept = near_dedup.classes(docs).where("kept").groupBy(F.col("doc_id").alias("__id"), F.col("text_md5").alias("__m")).agg(F.count("*").alias("__n"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & md5.eqNullSafe(F.col("__m"))
+    found = docs.join(kept, same)
+    # only repeated rows are dealt by id once more
+    again = found.where("__n > 1").dropDuplicates(["__id", "__m"])
+    return found.where("__n = 1").unionByName(again).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,9 +66,9 @@ def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(least, min(1 << 24, math.ceil(bytes_of(df) / block_bytes)))
 
 
-def with_block(df: DataFrame, blocks: int, id_col: str = "doc_id") -> DataFrame:
-    """df and the number of each row's block, which follows from the id alone (a null id has one too)."""
-    return df.withColumn(BLOCK, F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int"))
+def with_block(df: DataFrame, blocks: int, *columns: str) -> DataFrame:
+    """df and the number of each row's block, which follows from the given columns (nulls have one too)."""
+    return df.withColumn(BLOCK, F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int"))
 
 
 @functools.lru_cache(1)

@@ -27,6 +27,12 @@ def mapped(values: np.ndarray, path: str | None = None) -> np.ndarray:
     return np.memmap(path, values.dtype, "r", shape=values.shape)
 
 
+_ONE_BIT, _TWO_BITS, _FOUR_BITS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+_EACH_BYTE, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: Of each byte and rank, eight ranks a byte, the place of the bit with that rank.
+_BIT_PLACE = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)]).reshape(-1)
+
+
 class EliasFano:
     """A monotone sequence of integers below ``universe``: the low bits of each, packed, and the high bits in unary."""
 
@@ -58,19 +64,19 @@ class EliasFano:
         return out
 
     def _select(self, rank: np.ndarray) -> np.ndarray:
-        """Where the ``rank``-th one stands."""
+        """Where the ``rank``-th one stands: the word by the ranks, the byte by sums in all bytes at once, the bit by
+        table."""
         word = np.searchsorted(self.ranks, rank, "right") - 1
-        left = (rank - self.ranks[word]).astype(np.int64)
-        bits = self.high[word].copy()
-        place = np.zeros(len(rank), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):  # halve the word, keep the half with the one
-            lower = bits & np.uint64((1 << width) - 1)
-            ones = np.bitwise_count(lower).astype(np.int64)
-            up = left >= ones
-            place += np.where(up, width, 0)
-            left -= np.where(up, ones, 0)
-            bits = np.where(up, bits >> np.uint64(width), lower)
-        return word * 64 + place
+        left = (rank - self.ranks[word]).astype(np.uint64)
+        bits = self.high[word]
+        sums = bits - ((bits >> np.uint64(1)) & _ONE_BIT)
+        sums = (sums & _TWO_BITS) + ((sums >> np.uint64(2)) & _TWO_BITS)
+        sums = ((sums + (sums >> np.uint64(4))) & _FOUR_BITS) * _EACH_BYTE  # ones up to each byte's end
+        passed = ((left * _EACH_BYTE | _TOP) - sums & _TOP) >> np.uint64(7)  # bytes that end at or before the rank
+        byte = (passed * _EACH_BYTE >> np.uint64(56)) << np.uint64(3)
+        before = (sums << np.uint64(8)) >> byte & np.uint64(255)
+        inside = (bits >> byte) & np.uint64(255)
+        return word * 64 + byte.astype(np.int64) + _BIT_PLACE[(inside << np.uint64(3) | (left - before)).view(np.int64)]
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """The values at the given places."""
@@ -118,56 +124,77 @@ def restored(codes: np.ndarray) -> np.ndarray:
     return codes.astype(np.float64) * (LOWEST / 65535)
 
 
-class Trie:
-    """Words 0 .. m - 1 with a log10 probability and, as contexts, a log10 backoff weight each, and pairs (context, word)
-    with a log10 probability, sorted.
-
-    With ``folder`` the levels are files there, mapped into memory; else anonymous maps.
-    """
+class Level:
+    """The n-grams of one order, sorted by context and word: contexts are places in the level above. Each has a log10
+    probability and, unless it is the last level, a log10 backoff weight as a context."""
 
-    def __init__(self, word_logs: np.ndarray, backoffs: np.ndarray, contexts: np.ndarray, words: np.ndarray, pair_logs: np.ndarray, folder: str | None = None):
-        place = lambda name: None if folder is None else os.path.join(folder, name)
-        m = len(word_logs)
-        self.unigrams = mapped(quantised(word_logs), place("unigrams"))
-        self.backoffs = mapped(quantised(backoffs), place("backoffs"))
-        pointers = np.searchsorted(contexts, np.arange(m + 1))
+    def __init__(self, above: int, contexts: np.ndarray, words: np.ndarray, logs: np.ndarray, backoffs: np.ndarray | None, place):
+        pointers = np.searchsorted(contexts, np.arange(above + 1))
         self.pointers = EliasFano(pointers, len(contexts) + 1, place("pointers"))
         # each context's words come after the last value before them
         used = np.flatnonzero(np.diff(pointers))
         last = words[pointers[used + 1] - 1] + 1 if len(used) else np.empty(0, np.int64)
         shifts = np.concatenate([[0], np.cumsum(last)])
-        shift = np.repeat(shifts[:-1], np.diff(pointers)[used])
-        self.successors = EliasFano(words + shift, int(shifts[-1]) + 1, place("successors"))
-        self.pairs = mapped(quantised(pair_logs), place("pairs"))
+        self.successors = EliasFano(words + np.repeat(shifts[:-1], np.diff(pointers)[used]), int(shifts[-1]) + 1, place("successors"))
+        self.logs = mapped(quantised(logs), place("logs"))
+        self.backoffs = None if backoffs is None else mapped(quantised(backoffs), place("backoffs"))
+
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The place of each n-gram, -1 where there is none: the successor is searched in its context's range only."""
+        out = np.full(len(words), -1, np.int64)
+        if not self.successors.n or not len(words):
+            return out
+        begin, end = self.pointers.get(contexts), self.pointers.get(contexts + 1)
+        some = np.flatnonzero(end > begin)
+        begin, end = begin[some], end[some]
+        before = begin - 1
+        sought = words[some] + np.where(before >= 0, self.successors.get(np.maximum(before, 0)) + 1, 0)
+        at, value = self.successors.successor(sought, begin, end)
+        hit = value == sought
+        out[some[hit]] = at[hit]
+        return out
+
+    @property
+    def nbytes(self) -> int:
+        return self.pointers.nbytes + self.successors.nbytes + self.logs.nbytes + (0 if self.backoffs is None else self.backoffs.nbytes)
+
+
+class Trie:
+    """Words 0 .. m - 1 with a log10 probability and, as contexts, a log10 backoff weight each, and levels of longer
+    n-grams: (contexts, words, log10 probabilities, backoff weights or None), sorted by context and word.
+
+    With ``folder`` the arrays are files there, mapped into memory; else anonymous maps.
+    """
+
+    def __init__(self, word_logs: np.ndarray, backoffs: np.ndarray, levels: list[tuple], folder: str | None = None):
+        place = lambda level: lambda name: None if folder is None else os.path.join(folder, f"{name}{level}")
+        self.unigrams = mapped(quantised(word_logs), place(1)("logs"))
+        self.backoffs = mapped(quantised(backoffs), place(1)("backoffs"))
+        self.levels: list[Level] = []
+        above = len(word_logs)
+        for order, level in enumerate(levels, 2):
+            self.levels.append(Level(above, *level, place(order)))
+            above = len(level[0])
 
     def unigram(self, words: np.ndarray) -> np.ndarray:
         return restored(self.unigrams[words])
 
-    def bigram(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which pairs the trie has, and their log10 probabilities (0 where it hasn't)."""
-        begin, end = self.pointers.get(contexts), self.pointers.get(contexts + 1)
-        out = np.zeros(len(words))
-        has = np.zeros(len(words), bool)
-        some = np.flatnonzero(end > begin)
-        if not len(some):
-            return has, out
-        before = begin[some] - 1
-        shift = np.where(before >= 0, self.successors.get(np.maximum(before, 0)) + 1, 0)
-        sought = words[some] + shift
-        at, value = self.successors.successor(sought, begin[some], end[some])
-        hit = value == sought
-        has[some[hit]] = True
-        out[some[hit]] = restored(self.pairs[at[hit]])
-        return has, out
-
-    def score(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """log10 probability of each word after its context; a context of -1 is none."""
-        out = self.unigram(words)
-        within = np.flatnonzero(contexts >= 0)
-        has, logs = self.bigram(contexts[within], words[within])
-        out[within] = np.where(has, logs, out[within] + restored(self.backoffs[contexts[within]]))
+    def pair(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each word after a word, and the pair's place in its level (-1: none)."""
+        at = self.levels[0].find(contexts, words)
+        return np.where(at >= 0, restored(self.levels[0].logs[at]) if self.levels[0].successors.n else 0.0, self.unigram(words) + restored(self.backoffs[contexts])), at
+
+    def triple(self, pairs: np.ndarray, words: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """log10 probability of each word after a pair (by place, -1: none), given that after its last word."""
+        out = shorter.copy()
+        within = np.flatnonzero(pairs >= 0)
+        context = pairs[within]
+        at = self.levels[1].find(context, words[within])
+        has = at >= 0
+        out[within] += np.where(has, 0.0, restored(self.levels[0].backoffs[context]))
+        out[within[has]] = restored(self.levels[1].logs[at[has]])
         return out
 
     @property
     def nbytes(self) -> int:
-        return self.unigrams.nbytes + self.backoffs.nbytes + self.pairs.nbytes + self.pointers.nbytes + self.successors.nbytes
+        return self.unigrams.nbytes + self.backoffs.nbytes + sum(level.nbytes for level in self.levels)

@@ -1,6 +1,6 @@
 """Exchange of hashes between blocks of documents and hash buckets, as packed arrays.
 
-Documents are dealt to blocks by their id. A block reduces its hashes to sorted distinct codes and sends each bucket
+Documents are dealt to blocks by their id and text. A block reduces its hashes to sorted distinct codes and sends each bucket
 (a range of hashes) one row with one packed array, so a hash that stands in a third of all documents costs one entry a
 block, and a bucket grows with the number of distinct hashes, not with any hash's frequency. Buckets answer each block
 likewise. A code is the top 48 bits of a hash below the bucket's, so it grows with the number of buckets.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrays
-from graphloom.llm.common import BLOCK, block_count, pieces, tidy, with_block
+from graphloom.llm.common import BLOCK, BLOCK_BYTES, block_count, pieces, tidy, with_block
 
 #: Stands for a null id: after all others.
 LAST_ID = (1 << 63) - 1
@@ -64,7 +64,7 @@ def keyed(docs: DataFrame, blocks: int, id_col: str, text_col: str) -> DataFrame
     renamed, not copied, so that it travels once; ``passed`` names it back."""
     named = docs.withColumnRenamed(text_col, TEXT)
     marked = named.withColumns({ID: F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)), HASH: F.xxhash64(F.coalesce(F.col(TEXT), F.lit("")))})
-    return with_block(marked, blocks, ID)
+    return with_block(marked, blocks, ID, HASH)
 
 
 def passed(rows: pa.Table, names: list[str], text_col: str) -> list[pa.ChunkedArray]:
@@ -75,7 +75,7 @@ def passed(rows: pa.Table, names: list[str], text_col: str) -> list[pa.ChunkedAr
 def firsts(marked: DataFrame, blocks: int) -> DataFrame:
     """Of each distinct text the smallest id that has it: block, id and hash of the text. Pre-aggregated, so a group
     of copies of any size sends one row from each task."""
-    return with_block(marked.groupBy(F.md5(F.coalesce(F.col(TEXT), F.lit("")).cast("binary")).alias("__m")).agg(F.min(ID).alias(ID), F.min(HASH).alias(HASH)).drop("__m"), blocks, ID)
+    return with_block(marked.groupBy(F.md5(F.coalesce(F.col(TEXT), F.lit("")).cast("binary")).alias("__m")).agg(F.min(ID).alias(ID), F.min(HASH).alias(HASH)).drop("__m"), blocks, ID, HASH)
 
 
 def answers(firsts_: DataFrame, found: DataFrame | None = None) -> DataFrame:
@@ -180,8 +180,8 @@ def sent_codes(block: int, found: list[np.ndarray], codes: Codes) -> pa.Table:
     return rows_table(block, buckets, blobs, cut_at(edges, np.minimum(counts, 2).astype(np.uint8)))
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, Codes, int]:
+def prepared(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, Codes, int]:
     """Marked documents, the first copies, the codes' cut and the number of blocks."""
-    blocks = block_count(docs)
+    blocks = block_count(docs, block_bytes)
     marked = keyed(docs, blocks, id_col, text_col)
     return marked, firsts(marked, blocks), Codes(blocks), blocks

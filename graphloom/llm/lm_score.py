@@ -1,9 +1,12 @@
 """Language-model scores from an n-gram trie in Elias-Fano code, learned from the corpus itself.
 
-Each block of documents asks for the counts of the tokens and token pairs it has, and sends its own from training
-documents; hash buckets add them up and answer. A block then builds the trie of the model restricted to what can occur
-in it, so no task holds more of the model than its own documents need, however large the corpus. All pairs seen
-in training are in the model, so the probabilities after a token sum to 1; they are Dirichlet-smoothed towards the add-one unigram distribution.
+Each block of documents sends the counts of the tokens, pairs and triples it has, from training documents, and asks
+for the sums by that; hash buckets add them up and answer. A block then builds the trie of the model restricted to what
+can occur in it, so no task holds more of the model than its own documents need, however large the corpus. All n-grams
+seen in training are in the model. Each order is Dirichlet-smoothed towards the shorter one, pairs towards the add-one
+unigram distribution, so the probabilities after any context sum to 1.
+
+The levels of a trie are anonymous memory maps: executors have no folder of their own to map files from.
 """
 
 from __future__ import annotations
@@ -15,16 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import arrays, exchange
-from graphloom.llm.common import BLOCK, block_count, extended, tidy, written
+from graphloom.llm.common import BLOCK, block_count, extended, tidy
 from graphloom.llm.elias_fano import Trie
 from graphloom.llm.exchange import HASH, ID, TEXT, Codes
 
-#: Pairs seen less often in training are not in the model (1: all are); weight of the unigram distribution in tokens.
-LEAST_PAIR, PRIOR_TOKENS = 1, 500.0
-#: Bytes of the codes of tokens (kind 1) and of pairs (kind 2), below the bucket's bits.
-WIDTH = {1: 6, 2: 6}
+#: Weight of the shorter order's distribution in tokens; orders of the model; compressed bytes of a block.
+PRIOR_TOKENS, ORDERS, BLOCK_BYTES = 50.0, 3, 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
-_PAIR = np.uint64(0xA0761D6478BD642F)
+_PAIR, _TRIPLE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
 def held_out(id_col: str, folds: int = 7, fold: int = 2) -> Column:
@@ -45,56 +46,150 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, at
 
 
-def pairs(hashes: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it (the first with itself)."""
-    before = np.concatenate([hashes[:1], hashes[:-1]])
-    return arrays.mix(before * _PAIR + hashes)
-
-
-def _counted(full: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    distinct, which = np.unique(full, return_inverse=True)
-    return distinct, np.bincount(which, weights=times, minlength=len(distinct)).astype("<u4")
-
-
-ROWS = f"kind int, bucket int, {BLOCK} int, codes binary, more binary, n_distinct bigint, total bigint"
-
-
-def _rows(kind: int, block: int, codes: Codes, full: np.ndarray, counts: np.ndarray) -> pa.Table:
-    buckets, blobs, edges = codes.packed(full)
-    n = len(buckets)
-    return _table([kind] * n, buckets, [block] * n, blobs, exchange.cut_at(edges, counts), [0] * n, [0] * n)
-
-
-def _table(kind, bucket, block, blobs, more, distinct, total) -> pa.Table:
-    return pa.table({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), BLOCK: pa.array(block, pa.int32()), "codes": pa.array(blobs, pa.binary()), "more": pa.array(more, pa.binary()), "n_distinct": pa.array(distinct, pa.int64()), "total": pa.array(total, pa.int64())})
-
-
-def _added(rows: pa.Table, by_kind: dict[int, Codes]) -> pa.Table:
-    """A bucket's sums, to each block for the codes it sent (pairs: those in the model only), and one row with the
-    number of distinct codes and their total."""
-    kind = rows["kind"][0].as_py()
-    full, lengths = by_kind[kind].unpacked(rows["codes"].to_pylist())
-    counts = np.frombuffer(b"".join(rows["more"].to_pylist()), "<u4")
-    distinct, which = np.unique(full, return_inverse=True)
-    sums = np.bincount(which, weights=counts, minlength=len(distinct)).astype("<u8")
-    keep = (sums >= LEAST_PAIR if kind == 2 else np.ones(len(sums), bool))[which]
-    raw = np.ascontiguousarray(full.view(np.uint8).reshape(-1, 8)[:, : WIDTH[kind]])
-    answer = sums[which]
-    blobs, more = [], []
-    ends = np.cumsum(lengths)
-    for a, b in zip(ends - lengths, ends, strict=True):
-        mask = keep[a:b]
-        blobs.append(raw[a:b][mask].tobytes())
-        more.append(answer[a:b][mask].tobytes())
+def grams(hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the tokens, of the pairs and of the triples that end at each token, and which tokens have one: a list
+    of (hashes, places) by order. None crosses texts."""
+    place = np.arange(len(hashes)) - np.repeat(at[:-1], np.diff(at))
+    second = np.flatnonzero(place >= 1)
+    two = arrays.mix(hashes[second - 1] * _PAIR + hashes[second])
+    third = np.flatnonzero(place >= 2)
+    three = arrays.mix(arrays.mix(hashes[third - 2] * _PAIR + hashes[third - 1]) * _TRIPLE + hashes[third])
+    return [(hashes, np.arange(len(hashes))), (two, second), (three, third)]
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and which each value is."""
+    if not len(values):
+        return values, np.empty(0, np.int64), np.empty(0, np.int64)
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
+class _Block:
+    """The n-grams of a block's documents: by order the distinct codes, a place of each among the tokens, which each
+    token's is, and counts in training documents."""
+
+    def __init__(self, rows: pa.Table, codes: Codes):
+        parts = list(exchange.text_pieces(rows, 1 << 20))
+        found = [tokens(data, offsets) for _, data, offsets in parts]
+        sizes = np.concatenate([np.diff(at) for _, at in found]) if found else np.empty(0, np.int64)
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        hashes = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.uint64)
+        weight = np.repeat(~rows["held_out"].to_numpy(), sizes)
+        self.codes, self.place, self.which, self.tokens, self.counts = [], [], [], [], []
+        for values, place in grams(hashes, self.at):
+            known, first, which = distinct(codes.of(values))
+            self.codes.append(known)
+            self.place.append(place[first])
+            self.which.append(which.astype(np.int32))
+            self.tokens.append(place)
+            self.counts.append(np.bincount(which[weight[place]], minlength=len(known)).astype("<u4"))
+
+
+#: ``codes`` and ``more`` hold three arrays each, one for each order; sizes in codes.
+ROWS = f"bucket int, {BLOCK} int, sizes array<int>, codes binary, more binary"
+
+
+def _split(rows: pa.Table) -> list[list[int]]:
+    return rows["sizes"].to_pylist()
+
+
+def _send(block: int, own: _Block, codes: Codes) -> pa.Table:
+    by_bucket: dict[int, list] = {}
+    for order in range(ORDERS):
+        buckets, blobs, edges = codes.packed(own.codes[order])
+        for bucket, blob, more in zip(buckets, blobs, exchange.cut_at(edges, own.counts[order]), strict=True):
+            row = by_bucket.setdefault(bucket, [[0] * ORDERS, [b""] * ORDERS, [b""] * ORDERS])
+            # bytes of one rank side by side: the high ones of sorted codes hardly change
+            turned = np.frombuffer(blob, np.uint8).reshape(-1, codes.width).T.tobytes()
+            row[0][order], row[1][order], row[2][order] = len(blob) // codes.width, turned, more
+    chosen = sorted(by_bucket)
+    rows = [by_bucket[b] for b in chosen]
+    return pa.table({"bucket": pa.array(chosen, pa.int32()), BLOCK: pa.array([block] * len(chosen), pa.int32()), "sizes": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "codes": pa.array([b"".join(r[1]) for r in rows], pa.binary()), "more": pa.array([b"".join(r[2]) for r in rows], pa.binary())})
+
+
+def _order(sizes: list[list[int]], blobs: list[bytes], order: int, width: int) -> list[bytes]:
+    """The part of each blob that belongs to an order."""
+    return [b[width * sum(n[:order]) : width * sum(n[: order + 1])] for n, b in zip(sizes, blobs, strict=True)]
+
+
+def _sums(rows: pa.Table, codes: Codes, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one order: how often each distinct code stands in training, which each sent code is, the counts sent, and
+    how many each row has."""
+    sizes = _split(rows)
+    blobs = _order(sizes, rows["codes"].to_pylist(), order, codes.width)
+    raw = [np.frombuffer(b, np.uint8).reshape(codes.width, -1).T for b in blobs]
+    wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
+    if len(wide):
+        wide[:, : codes.width] = np.concatenate(raw)
+    counts = np.frombuffer(b"".join(_order(sizes, rows["more"].to_pylist(), order, 4)), "<u4")
+    known, _, which = distinct(wide.view("<u8").reshape(-1))
+    return np.bincount(which, weights=counts, minlength=len(known)).astype("<u8"), which, counts, np.array([n[order] for n in sizes])
+
+
+def _answer(rows: pa.Table, codes: Codes) -> pa.Table:
+    """To each block, in the order it sent its codes: a bit for each, set where the sum isn't what it sent, and these
+    sums."""
     n = rows.num_rows
-    bucket = rows["bucket"][0].as_py()
-    return _table([kind] * (n + 1), [bucket] * (n + 1), rows[BLOCK].to_pylist() + [-1], blobs + [b""], more + [b""], [0] * n + [int((sums > 0).sum())], [0] * n + [int(sums.sum())])
-
-
-def _answered(side: pa.Table, kind: int, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    part = side.filter(pa.array(side["kind"].to_numpy() == kind, pa.bool_())) if side.num_rows else side
-    full, more = exchange.side_codes(part, codes) if part.num_rows else (np.empty(0, np.uint64), [])
-    return full, np.frombuffer(b"".join(more), "<u8").astype(np.float64)
+    bits, more = [[] for _ in range(n)], [[] for _ in range(n)]
+    for order in range(ORDERS):
+        sums, which, counts, lengths = _sums(rows, codes, order)
+        answer = sums[which]
+        other = answer != counts
+        ends = np.cumsum(lengths)
+        for i, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
+            bits[i].append(np.packbits(other[a:b]).tobytes())
+            more[i].append(answer[a:b][other[a:b]].tobytes())
+    return pa.table({"bucket": rows["bucket"], BLOCK: rows[BLOCK], "sizes": rows["sizes"], "codes": pa.array([b"".join(x) for x in bits], pa.binary()), "more": pa.array([b"".join(x) for x in more], pa.binary())})
+
+
+def _answered(own: _Block, side: pa.Table) -> list[np.ndarray]:
+    """The counts of all blocks, of the block's codes by order."""
+    side = side.sort_by("bucket")
+    out = [counts.astype(np.int64) for counts in own.counts]
+    filled = [0] * ORDERS
+    for sizes, bits, more in zip(_split(side), side["codes"].to_pylist(), side["more"].to_pylist(), strict=True):
+        sums, begin = np.frombuffer(more, "<u8"), 0
+        used = 0
+        for order, n in enumerate(sizes):
+            length = (n + 7) // 8
+            other = np.unpackbits(np.frombuffer(bits[begin : begin + length], np.uint8), count=n).astype(bool)
+            begin += length
+            k = int(other.sum())
+            out[order][filled[order] : filled[order] + n][other] = sums[used : used + k]
+            used, filled[order] = used + k, filled[order] + n
+    return out
+
+
+def model(own: _Block, sums: list[np.ndarray], whole: float) -> tuple[Trie, list[np.ndarray]]:
+    """The trie of the block's n-grams that stand in training, and of each distinct pair and triple the word numbers:
+    (first word, last word) of pairs, (pair, last word) of triples."""
+    one, two, three = sums
+    number = own.which[0].astype(np.int64)
+    last, before = number[own.place[1]], number[own.place[1] - 1]
+    pair_of = np.full(len(number), -1, np.int64)  # the pair that ends at each token
+    pair_of[own.tokens[1]] = own.which[1]
+    third, first_two = number[own.place[2]], pair_of[own.place[2] - 1]
+    mu = PRIOR_TOKENS
+    p_one = (one + 1) / whole
+    p_two = (two + mu * p_one[last]) / (one[before] + mu)
+    middle = pair_of[own.place[2]]  # of a triple, the pair of its last two words
+    p_three = (three + mu * p_two[middle]) / (two[first_two] + mu)
+    seen = np.flatnonzero(two > 0)
+    seen = seen[np.lexsort((last[seen], before[seen]))]
+    place = np.full(len(two), -1, np.int64)
+    place[seen] = np.arange(len(seen))
+    deep = np.flatnonzero(three > 0)
+    deep = deep[np.lexsort((third[deep], place[first_two[deep]]))]
+    levels = [
+        (before[seen], last[seen], np.log10(p_two[seen]), np.log10(mu / (two[seen] + mu))),
+        (place[first_two[deep]], third[deep], np.log10(p_three[deep]), None),
+    ]
+    return Trie(np.log10(p_one), np.log10(mu / (one + mu)), levels), [before, last, first_two, third, middle]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
@@ -106,76 +201,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     further columns pass through, columns with the result's names are replaced. An empty table gives an empty one;
     without a training row N and V are 0.
     """
-    blocks = block_count(docs)
-    codes, pair_codes = (Codes(blocks, WIDTH[kind]) for kind in (1, 2))
+    blocks = block_count(docs, BLOCK_BYTES)
+    codes = Codes(blocks)
     marked = exchange.keyed(docs.withColumn("held_out", held_out(id_col, folds, fold)), blocks, id_col, text_col)
-    slim = marked.select(BLOCK, ID, HASH, TEXT, "held_out")
 
     def send(rows: pa.Table) -> pa.Table:
-        one, two = [], []
-        training = ~rows["held_out"].to_numpy()
-        base = 0
-        for part, data, offsets in exchange.text_pieces(rows):
-            hashes, at = tokens(data, offsets)
-            counts = np.repeat(training[base : base + part.num_rows], np.diff(at)).astype(np.float64)
-            one.append(_counted(codes.of(hashes), counts))
-            inner = np.ones(len(hashes), bool)
-            inner[at[:-1]] = False
-            two.append(_counted(pair_codes.of(pairs(hashes)[inner]), counts[inner]))
-            base += part.num_rows
-        block = rows[BLOCK][0].as_py()
-        sent = [_rows(kind, block, how, *_counted(np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found]))) for kind, how, found in ((1, codes, one), (2, pair_codes, two))]
-        return pa.concat_tables(sent)
-
-    answers = written(slim.groupBy(BLOCK).applyInArrow(tidy(send), ROWS).groupBy("kind", "bucket").applyInArrow(tidy(lambda rows: _added(rows, {1: codes, 2: pair_codes})), ROWS))
-    known = answers.where((F.col(BLOCK) == -1) & (F.col("kind") == 1)).agg(F.sum("total"), F.sum("n_distinct")).first()
-    n_train, n_distinct = int(known[0] or 0), int(known[1] or 0)
-    whole = np.log10(n_train + n_distinct + 1)
+        return _send(rows[BLOCK][0].as_py(), _Block(rows, codes), codes)
+
+    def totals(rows: pa.Table) -> pa.Table:
+        sums = _sums(rows, codes, 0)[0]
+        return pa.table({"n_distinct": pa.array([int((sums > 0).sum())], pa.int64()), "total": pa.array([int(sums.sum())], pa.int64())})
+
+    sent = marked.groupBy(BLOCK).applyInArrow(tidy(send), ROWS)
+    answers = sent.groupBy("bucket").applyInArrow(tidy(lambda rows: _answer(rows, codes)), ROWS)
+    # one row, read as a scalar by every answer; the plan makes the exchanges of both once
+    known = sent.groupBy("bucket").applyInArrow(tidy(totals), "n_distinct bigint, total bigint").agg(F.struct(F.sum("n_distinct").alias("n_distinct"), F.sum("total").alias("total")).alias("known"))
+    side = answers.withColumn("known", known.scalar())
 
     fields = [("held_out", "boolean"), ("n_tokens", "bigint"), ("n_known", "bigint"), ("train_tokens", "bigint"), ("base_score", "double"), ("score", "double")]
     schema = extended(T.StructType([f for f in docs.schema.fields if f.name not in {ID, TEXT, HASH, BLOCK}]), fields)
     passed = [f.name for f in schema.fields[: -len(fields)]]
 
     def judge(rows: pa.Table, side: pa.Table) -> pa.Table:
-        words, times = _answered(side, 1, codes)
-        in_model, pair_times = _answered(side, 2, pair_codes)
-        contexts, follows, seen = [], [], []
-        texts = []
-        for _, data, offsets in exchange.text_pieces(rows):
-            hashes, at = tokens(data, offsets)
-            _, number = exchange.member(codes.of(hashes), words)
-            inner = np.ones(len(hashes), bool)
-            inner[at[:-1]] = False
-            before = np.concatenate([[-1], number[:-1]])
-            before[~inner] = -1
-            has, where = exchange.member(pair_codes.of(pairs(hashes)), in_model)
-            has &= inner
-            contexts.append(before[has])
-            follows.append(number[has])
-            seen.append(pair_times[where[has]] if len(pair_times) else np.empty(0))
-            texts.append((number, before, at))
-        context, follow, count = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (contexts, follows, seen))
-        key = context.astype(np.int64) * max(1, len(words)) + follow
-        _, first = np.unique(key, return_index=True)
-        context, follow, count = context[first].astype(np.int64), follow[first].astype(np.int64), count[first]
-        log_word = np.log10(times + 1) - whole
-        log_pair = np.log10((count + PRIOR_TOKENS * 10 ** log_word[follow]) / (times[context] + PRIOR_TOKENS)) if len(count) else count
-        trie = Trie(log_word, np.log10(PRIOR_TOKENS / (times + PRIOR_TOKENS)), context, follow, log_pair)
-        out = {name: [] for name, _ in fields[1:]}
-        for number, before, at in texts:
-            n = np.diff(at)
-            if not len(n):
-                continue
-            asked = (before + 1) * (len(words) + 1) + number
-            distinct, first, which = np.unique(asked, return_index=True, return_inverse=True)
-            logs = trie.score(before[first], number[first])[which]
-            out["n_tokens"].append(n)
-            out["n_known"].append(np.add.reduceat((times[number] > 0).astype(np.int64), at[:-1]))
-            out["train_tokens"].append(np.full(len(n), n_train))
-            out["base_score"].append(np.add.reduceat(np.log10(times[number] + 1), at[:-1]) - n * whole)
-            out["score"].append(np.add.reduceat(logs, at[:-1]))
-        made = [pa.array(np.concatenate(out[name]) if out[name] else np.empty(0), pa.int64() if kind == "bigint" else pa.float64()) for name, kind in fields[1:]]
-        return pa.table([*exchange.passed(rows, passed, text_col), rows["held_out"], *made], names=schema.names)
-
-    side = answers.where(F.col(BLOCK) >= 0).drop("n_distinct", "total")
+        own = _Block(rows, codes)
+        total = side["known"][0].as_py()
+        whole = total["total"] + total["n_distinct"] + 1
+        sums = _answered(own, side)
+        trie, (before, last, first_two, third, middle) = model(own, sums, whole)
+        logs = trie.unigram(own.which[0])
+        two, place = trie.pair(before, last)
+        logs[own.tokens[1]] = two[own.which[1]]
+        logs[own.tokens[2]] = trie.triple(place[first_two], third, two[middle])[own.which[2]]
+        n = np.diff(own.at)
+        times = sums[0][own.which[0]]
+        made = {
+            "n_tokens": n, "n_known": np.add.reduceat((times > 0).astype(np.int64), own.at[:-1]), "train_tokens": np.full(len(n), total["total"]),
+            "base_score": np.add.reduceat(np.log10(times + 1), own.at[:-1]) - n * np.log10(whole), "score": np.add.reduceat(logs, own.at[:-1]),
+        }
+        columns = [pa.array(made[name], pa.int64() if kind == "bigint" else pa.float64()) for name, kind in fields[1:]]
+        return pa.table([*exchange.passed(rows, passed, text_col), rows["held_out"], *columns], names=schema.names)
+
     return exchange.per_block(marked, side, judge, schema)

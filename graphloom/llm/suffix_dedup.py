@@ -253,7 +253,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     waiting = contexts.where(~F.col("done")).withColumn("bucket", F.pmod("key", F.lit(4 * blocks)))
     resolved = waiting.groupBy("bucket").applyInArrow(resolve, spans)
     certain = contexts.where("done").select(F.col("id").alias(ID), F.col("h").alias(HASH), F.col("place").alias("start"), (F.col("place") + F.col("before")).alias("stop"))
-    gone = with_block(resolved.unionByName(certain), blocks, ID)
+    gone = with_block(resolved.unionByName(certain), blocks, ID, HASH)
     copies = first.select(BLOCK, F.lit(-1).alias("bucket"), ID, HASH, F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("stop"))
     side_rows = copies.unionByName(gone.withColumn("bucket", F.lit(0)))
 

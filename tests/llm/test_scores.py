@@ -93,40 +93,43 @@ def test_prefix_and_bounds_lose_no_block(spark):
         assert got[i] == ",".join(sorted(label for t, label in templates.items() if len(words & set(t.split())) >= math.ceil(0.8 * len(set(t.split())))))
 
 
-def test_language_model(docs, rows, none):
-    got = lm_score.score(docs).collect()
-    held = [zlib.crc32(str(d).encode()) % 7 == 2 if d is not None else False for d, *_ in rows]
-    tokens = [[*((t or "").translate(LOWER).encode().split()), None] for _, t, *_ in rows]
-    one, two = Counter(), Counter()
+def _model(texts, held):
+    """Log10 probability of each text by its definition, the counts, and the probability of a word after two others."""
+    tokens = [[*((t or "").translate(LOWER).encode().split()), None] for t in texts]
+    one, two, three = Counter(), Counter(), Counter()
     for h, w in zip(held, tokens, strict=True):
         if not h:
             one.update(w)
             two.update(zip(w, w[1:], strict=False))
-    n, v = sum(one.values()), len(one)
-    chance = lambda x: (one[x] + 1) / (n + v + 1)
-    expected = []
-    for (d, *_), h, w in zip(rows, held, tokens, strict=True):
-        model = math.log10(chance(w[0]))
-        for a, x in zip(w, w[1:], strict=False):
-            seen = two[a, x] if two[a, x] >= lm_score.LEAST_PAIR else 0
-            model += math.log10((seen + lm_score.PRIOR_TOKENS * chance(x)) / (one[a] + lm_score.PRIOR_TOKENS))
-        expected.append((-1 if d is None else d, h, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(chance(x)) for x in w), model))
+            three.update(zip(w, w[1:], w[2:], strict=False))
+    n, v, mu = sum(one.values()), len(one), lm_score.PRIOR_TOKENS
+    first = lambda x: (one[x] + 1) / (n + v + 1)
+    second = lambda a, x: (two[a, x] + mu * first(x)) / (one[a] + mu)
+    third = lambda a, b, x: (three[a, b, x] + mu * second(b, x)) / (two[a, b] + mu)
+    logs = [sum(math.log10(first(x) if i == 0 else second(w[0], x) if i == 1 else third(w[i - 2], w[i - 1], x)) for i, x in enumerate(w)) for w in tokens]
+    return tokens, one, first, third, logs
+
+
+def test_language_model(docs, rows, none):
+    got = lm_score.score(docs.withColumnRenamed("source", "n_tokens").withColumnRenamed("lang", "score")).collect()
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 if d is not None else False for d, *_ in rows]
+    tokens, one, first, third, logs = _model([t for _, t, *_ in rows], held)
+    n = sum(one.values())
+    expected = [(-1 if d is None else d, h, len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(first(x)) for x in w), m) for (d, *_), h, w, m in zip(rows, held, tokens, logs, strict=True)]
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
     for g, e in zip(got, sorted(expected), strict=True):
         assert g[:5] == e[:5]
         assert g[5] == pytest.approx(e[5]) and abs(g[6] - e[6]) < 1e-3 * e[2]  # quantised
     assert lm_score.score(none).count() == 0
+    # one unknown word has the rest of the unigram distribution
+    for a, b in [*zip(tokens[1][:3], tokens[1][1:4], strict=True)]:
+        assert sum(third(a, b, x) for x in [*one, b"never seen"]) == pytest.approx(1)
 
 
-def test_pairs_seen_once_are_in_the_model(spark):
-    texts = ["a b", "c d"]
-    ids = [d for d in range(50) if zlib.crc32(str(d).encode()) % 7 != 2][:2]
-    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()}
-    n, v = 6, 5
-    chance = lambda c: (c + 1) / (n + v + 1)
-    after = lambda c: (1 + lm_score.PRIOR_TOKENS * chance(c)) / (1 + lm_score.PRIOR_TOKENS)
-    expected = math.log10(chance(1)) + math.log10(after(1)) + math.log10(after(2))
-    assert all(got[d].score == pytest.approx(expected, abs=1e-4) for d in ids)
+def test_language_model_without_training_rows(spark):
+    ids = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2][:3]
+    got = lm_score.score(spark.createDataFrame([(d, "a b") for d in ids], "doc_id long, text string")).collect()
+    assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(True, 3, 0, 0, 0.0)] * 3
 
 
 @pytest.mark.parametrize(("n", "universe"), [(0, 1), (1, 1), (10, 5), (1000, 10**6), (5000, 3), (7, 2**40)])
@@ -141,14 +144,23 @@ def test_elias_fano(n, universe, tmp_path):
 def test_trie(tmp_path):
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 300 * 300, 4000))
-    context, word, logs = keys // 300, keys % 300, -rng.random(len(keys)) * 10
-    trie = elias_fano.Trie(-rng.random(300), -rng.random(300), context, word, logs, str(tmp_path))
-    asked = rng.integers(0, 300 * 300, 5000)
-    has, found = trie.bigram(asked // 300, asked % 300)
-    known = dict(zip(keys.tolist(), logs, strict=True))
-    assert has.tolist() == [int(k) in known for k in asked]
-    assert all(abs(f - known[int(k)]) < 1e-3 for k, h, f in zip(asked, has, found, strict=True) if h)
-
+    context, word, logs, weights = keys // 300, keys % 300, -rng.random(len(keys)) * 10, -rng.random(len(keys))
+    deep = np.unique(rng.integers(0, len(keys) * 300, 5000))
+    deep_logs = -rng.random(len(deep)) * 10
+    unigrams, backoffs = -rng.random(300), -rng.random(300)
+    trie = elias_fano.Trie(unigrams, backoffs, [(context, word, logs, weights), (deep // 300, deep % 300, deep_logs, None)], str(tmp_path))
+    asked = np.concatenate([rng.integers(0, 300 * 300, 5000), keys[:500]])
+    found, place = trie.pair(asked // 300, asked % 300)
+    known = {int(k): i for i, k in enumerate(keys)}
+    assert place.tolist() == [known.get(int(k), -1) for k in asked]
+    expected = [logs[p] if p >= 0 else unigrams[k % 300] + backoffs[k // 300] for k, p in zip(asked.tolist(), place.tolist(), strict=True)]
+    assert np.abs(found - expected).max() < 1e-3
+    below = {int(k): x for k, x in zip(deep, deep_logs, strict=True)}
+    pairs, words = np.concatenate([rng.integers(-1, len(keys), 5000), deep // 300]), np.concatenate([rng.integers(0, 300, 5000), deep % 300])
+    shorter = -rng.random(len(pairs))
+    got = trie.triple(pairs, words, shorter)
+    expected = [below.get(p * 300 + w, s + weights[p]) if p >= 0 else s for p, w, s in zip(pairs.tolist(), words.tolist(), shorter, strict=True)]
+    assert np.abs(got - expected).max() < 1e-3
 
 def test_gradients_are_those_of_the_loss():
     # the squashing function is a rational stand-in for tanh, whose slope backpropagation takes

@@ -32,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return configured or current.get()
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     folder = configured or tempfile.mkdtemp(prefix="checkpoints")
     context.setCheckpointDir(folder)
     return folder

@@ -25,6 +25,10 @@ BROADCAST_BYTES = 4 << 20
 SLOTS, CELL = 1 << 22, 1024
 #: Documents, or distinct shingles, whose counts a task adds up before it sends the frequent ones.
 FLUSH_DOCUMENTS, FLUSH_SHINGLES = 8192, 1 << 21
+#: Rows of slim tables that a task takes, about: such a table has no more tasks and files than that asks for.
+TASK_ROWS = 50_000
+#: Compressed bytes of texts that a task takes, about.
+TASK_BYTES = 4 << 20
 #: A row without an id goes by a number from here on that its text gives; ids are smaller.
 NO_ID = 1 << 62
 
@@ -160,7 +164,7 @@ def frequencies(texts: DataFrame, settings: Sampling) -> tuple[Frequent, int]:
         released()
 
     sent = texts.select("text").mapInArrow(send, "hash bigint, n bigint, rows bigint")
-    summed = written(sent.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")))
+    summed = written(sent.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).coalesce(1 + bytes_of(texts) // TASK_BYTES))
     documents = summed.agg(F.sum("rows")).first()[0] or 0
     # at most (mean shingles of a document) / (0.75 common) of them
     likely = np.sort(summed.where((F.col("n") >= 3 * quarter * documents) & (F.col("n") > 0)).select("hash").toArrow()["hash"].to_numpy().view(np.uint64))
@@ -251,6 +255,11 @@ def verified(pairs: DataFrame, texts: DataFrame, frequent: Frequent, settings: S
     return found.groupBy("u", "v").agg(F.max("similarity").alias("similarity"))  # an id may have repeated rows
 
 
+def _slim(df: DataFrame, rows: int) -> DataFrame:
+    """df, a table of ids and numbers of about as many rows, written by as many tasks as these ask for at most."""
+    return written(df.coalesce(1 + rows // TASK_ROWS))
+
+
 def _alike(u: str, v: str, settings: Sampling):
     """Whether two whole weights allow the least similarity at all."""
     return F.least(u, v) >= settings.similarity * (1 - 1e-9) * F.greatest(u, v)
@@ -353,14 +362,14 @@ def _exact(waiting: DataFrame, texts: DataFrame, frequent: Frequent, settings: S
     found = written(_prefixes(written(texts.join(_small(waiting, waiting, 16), "id")), frequent, settings))
     by_label = found.groupBy("hash", "label").agg(F.count("*").alias("n"))
     postings = by_label.groupBy("hash").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("major")).where("labels > 1")
-    dealt = written(found.join(postings.select("hash", "major", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "hash"))
+    dealt = _slim(found.join(postings.select("hash", "major", F.ceil(F.col("n") / CELL).cast("int").alias("parts")), "hash"), found.count())
     v = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("v")
     u = dealt.where("label <> major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("u")
     share = settings.similarity / (1 + settings.similarity) * (1 - 1e-9)
     meets = (F.col("u.label") != F.col("v.label")) & ((F.col("v.label") == F.col("v.major")) | (F.col("u.id") < F.col("v.id"))) & _alike("u.whole", "v.whole", settings)
     enough = F.least("u.rest", "v.rest") >= share * (F.col("u.whole") + F.col("v.whole"))
     same = (F.col("u.hash") == F.col("v.hash")) & (F.col("u.part") == F.col("v.part"))
-    pairs = written(u.join(v, same & meets & enough).select(F.least("u.id", "v.id").alias("u"), F.greatest("u.id", "v.id").alias("v")).distinct())
+    pairs = _slim(u.join(v, same & meets & enough).select(F.least("u.id", "v.id").alias("u"), F.greatest("u.id", "v.id").alias("v")).distinct(), dealt.count())
     return verified(pairs, texts, frequent, settings).where(F.col("similarity") >= settings.similarity).select("u", "v")
 
 
@@ -385,21 +394,20 @@ def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), number.alias("id"), md5.alias("m"))
     usable = rows.where(F.col("text").isNotNull())
     first = usable.groupBy("m").agg(F.min("id").alias("first"))
-    texts = written(usable.select("id", "m", "text").join(first.select(F.col("first").alias("id"), "m"), ["id", "m"], "left_semi").select("id", "text"))
-    frequent, _ = frequencies(texts, settings)
+    texts = written(usable.select("id", "m", "text").join(first.select(F.col("first").alias("id"), "m"), ["id", "m"], "left_semi").select("id", "text").coalesce(min(1 << 24, 1 + bytes_of(docs) // TASK_BYTES)))
+    frequent, documents = frequencies(texts, settings)
+    rows_ = documents * settings.bands
     sketched = written(sketches(texts, frequent, settings))
     buckets = sketched.select("id", "whole", F.posexplode("keys").alias("band", "key"))
     crowded = buckets.groupBy("band", "key").agg(F.min(F.struct("id", "whole")).alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = written(buckets.join(crowded.select("band", "key", "leader"), ["band", "key"]).select("band", "key", "id", "whole", "leader"))
+    members = _slim(buckets.join(crowded.select("band", "key", "leader"), ["band", "key"]).select("band", "key", "id", "whole", "leader"), rows_)
     led = members.where((F.col("id") != F.col("leader.id")) & _alike("whole", "leader.whole", settings)).select(F.col("leader.id").alias("u"), F.col("id").alias("v"))
-    pairs = written(led.union(_neighbours(sketched, settings)).distinct())
-    links = written(verified(pairs, texts, frequent, settings).where(F.col("similarity") >= settings.similarity).select("u", "v"))
-    labels = components(links)
-    known = written(_labelled(members.select("band", "key", "id", F.col("id").alias("label")), labels))
+    pairs = _slim(led.union(_neighbours(sketched, settings)).distinct(), rows_)
+    links = _slim(verified(pairs, texts, frequent, settings).where(F.col("similarity") >= settings.similarity).select("u", "v"), rows_)
+    known = _slim(_labelled(members.select("band", "key", "id", F.col("id").alias("label")), components(links)), rows_)
     several = known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "key")
-    waiting = written(known.join(several, ["band", "key"], "left_semi").select("id", "label").distinct())
-    more = written(_exact(waiting, texts, frequent, settings))
-    links = links.union(more)
+    waiting = _slim(known.join(several, ["band", "key"], "left_semi").select("id", "label").distinct(), documents)
+    links = links.union(_slim(_exact(waiting, texts, frequent, settings), rows_))
     per_text = links.select(F.explode(F.array("u", "v")).alias("first")).groupBy("first").agg(F.count("*").alias("n_links"))
     by_text = _labelled(first.withColumn("label", F.col("first")), components(links))
     by_text = by_text.join(per_text, "first", "left").select("m", "label", "n_links")

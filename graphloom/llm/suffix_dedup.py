@@ -4,12 +4,15 @@ Every window of 100 bytes has an anchor: its 32 bytes with the least hash; equal
 places. Anchors that recur are confirmed by an exchange of hashes. The suffixes that start at recurring anchors, and
 the reversed prefixes that end there, are sorted: multikey quicksort on 8-byte characters to a shallow depth, then
 blind tries order the groups with longer common prefixes. From the order and its common prefixes follow, for every
-place of the anchor in a window, which windows are equal; all but the earliest are removed.
+place of the anchor in a window, which windows are equal; all but the earliest are removed. Anchors that very many
+blocks have would gather their suffixes in one task: blocks exchange the hashes of the windows around these instead, each
+with the earliest place in the block.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import arrays, exchange
-from graphloom.llm.common import BLOCK, extended, with_block
+from graphloom.llm.common import BLOCK, extended, tidy, with_block
 from graphloom.llm.exchange import HASH, ID, ROWS, TEXT, answers
 
 #: Bytes of a window and of an anchor; bytes of context before and from an anchor's start.
@@ -27,7 +30,8 @@ WINDOW, ANCHOR = 100, 32
 BEFORE = WINDOW - ANCHOR
 #: 8-byte characters that multikey quicksort looks at before blind tries take over, and the range it leaves to them.
 SHALLOW, SMALL = 3, 12
-#: Blocks that have an anchor from which its contexts are dealt by further bytes too.
+#: Blocks that have an anchor from which on its windows go by their own hashes, one entry a block and window, so that
+#: nothing gathers by the anchor.
 HOT_BLOCKS = 64
 
 
@@ -183,65 +187,145 @@ def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[arrays.ragged(begin, size)]))])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
+_SENT = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("before", pa.int32()), ("context", pa.binary()), ("done", pa.bool_())])
 
-    A byte goes if a 100-byte string that covers it also starts earlier: in a document of a smaller id, or in the same
-    one before. Strings are judged on the input, never cross documents, and may overlap. Copies of a whole text follow
-    from its first copy. Contexts that agree within a block travel once; an anchor that many blocks have is dealt by
-    the bytes beside it too, so neither a passage nor a line in a third of all documents gathers in one task.
-    Null and empty texts have no bytes; a null id counts as larger than any other; rows of one id and text count once
-    and are treated alike, rows of one id and different texts in order of the text's hash. Columns with the result's
-    names are replaced, others pass through. An empty table gives an empty one.
-    """
-    marked, first, codes, blocks = exchange.prepared(docs, id_col, text_col)
 
-    def send_anchors(rows: pa.Table, side: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return exchange.rows_table(0, [], [], [])
-        own = exchange.one_each(rows, exchange.first_rows(rows, side))
-        return exchange.sent_codes(rows[BLOCK][0].as_py(), [_anchors(d, o)[1] for _, d, o in exchange.text_pieces(own)], codes)
-
-    confirmed = exchange.recurring(exchange.per_block(marked, answers(first), send_anchors, ROWS), codes, HOT_BLOCKS)
-    sent = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("before", pa.int32()), ("context", pa.binary()), ("done", pa.bool_())])
+def _contexts(marked: DataFrame, first: DataFrame, confirmed: DataFrame, codes: exchange.Codes) -> DataFrame:
+    """The contexts of recurring anchors that aren't hot, by the anchor's hash. Contexts that agree within a block go
+    once: of the others the interval they lose is known (done: start and length in place of place and before)."""
 
-    def send_contexts(rows: pa.Table, side: pa.Table) -> pa.Table:
+    def send(rows: pa.Table, side: pa.Table) -> pa.Table:
         known, more = exchange.side_codes(side, codes)
         if not rows.num_rows or not len(known):
-            return sent.empty_table()
+            return _SENT.empty_table()
         hot = np.frombuffer(b"".join(more), np.uint8)
         out = []
         for part, data, offsets in exchange.text_pieces(exchange.one_each(rows, exchange.first_rows(rows, side))):
             at, hashes = _anchors(data, offsets)
             has, where = exchange.member(codes.of(hashes), known)
-            at, hashes, is_hot = at[has], hashes[has], hot[where[has]] > 0
+            has &= hot[where] == 0
+            at, hashes = at[has], hashes[has]
             doc = np.searchsorted(offsets, at, "right") - 1
-            sums = arrays.bytes_prefix(data)
             lo, hi = np.maximum(at - BEFORE, offsets[doc]), np.minimum(at + WINDOW, offsets[doc + 1])
-            half = BEFORE // 2
-            # of a hot anchor: windows with the half before it, and windows with as many bytes after it
-            groups = [(~is_hot, lo, hi, None, None)]
-            groups.append((is_hot & (at - half >= offsets[doc]), lo, np.minimum(hi, at + WINDOW - half), at - half, at + ANCHOR))
-            groups.append((is_hot & (at + WINDOW - half <= offsets[doc + 1]), np.maximum(lo, at - half), hi, at, at + WINDOW - half))
-            for mask, begin, end, key_begin, key_end in groups:
-                rows_ = np.flatnonzero(mask & (end - begin >= WINDOW))
-                key = hashes[rows_] if key_begin is None else arrays.spans_hash(sums, key_begin[rows_], key_end[rows_])
-                out.append((key, part[ID].to_numpy()[doc[rows_]], part[HASH].to_numpy()[doc[rows_]], (at - offsets[doc])[rows_], (at - begin)[rows_], data, begin[rows_], end[rows_]))
-        if not out:
-            return sent.empty_table()
+            out.append((hashes, part[ID].to_numpy()[doc], part[HASH].to_numpy()[doc], at - offsets[doc], at - lo, data, lo, hi))
         key, ids, texts, place, before = (np.concatenate([x[i] for x in out]) for i in range(5))
         context = pa.concat_arrays([_slices(data, begin, end) for *_, data, begin, end in out])
         lengths = pc.binary_length(context).to_numpy(zero_copy_only=False)
-        # contexts that agree: the first stands for them, the others are removed as far as they reach
         like = context.dictionary_encode().indices.to_numpy(zero_copy_only=False)
         order = np.lexsort((place, texts, ids, before, key, like))
         done = np.zeros(len(order), bool)
         done[order[1:]] = (like[order[1:]] == like[order[:-1]]) & (before[order[1:]] == before[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
-        # of those done, place and before give the interval's start and length
         columns = [key.view(np.int64), ids, texts, np.where(done, place - before, place), np.where(done, lengths, before).astype(np.int32)]
-        return pa.table([*map(pa.array, columns), pc.if_else(pa.array(done), pa.scalar(b"", pa.binary()), context), pa.array(done)], schema=sent)
+        return pa.table([*map(pa.array, columns), pc.if_else(pa.array(done), pa.scalar(b"", pa.binary()), context), pa.array(done)], schema=_SENT)
+
+    return exchange.per_block(marked, answers(first, confirmed), send, "key bigint, id bigint, h bigint, place bigint, before int, context binary, done boolean")
+
+
+def _hot_windows(rows: pa.Table, side: pa.Table, codes: exchange.Codes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each piece of first copies: code, id, text hash and place of the windows around hot anchors."""
+    known, more = exchange.side_codes(side, codes)
+    hot = known[np.frombuffer(b"".join(more), np.uint8) > 0]
+    if not rows.num_rows or not len(hot):
+        return
+    for part, data, offsets in exchange.text_pieces(exchange.one_each(rows, exchange.first_rows(rows, side))):
+        at, hashes = _anchors(data, offsets)
+        at = at[exchange.member(codes.of(hashes), hot)[0]]
+        if not len(at):
+            continue
+        doc = np.searchsorted(offsets, at, "right") - 1
+        lo, hi = np.maximum(at - BEFORE, offsets[doc]), np.minimum(at, offsets[doc + 1] - WINDOW) + 1
+        begin, end = arrays.merged(lo[hi > lo], hi[hi > lo])
+        place = arrays.ragged(begin, end - begin)
+        doc = np.searchsorted(offsets, place, "right") - 1
+        full = codes.of(arrays.windows_hash(arrays.bytes_prefix(data), WINDOW)[place])
+        yield full, part[ID].to_numpy()[doc], part[HASH].to_numpy()[doc], place - offsets[doc]
+
+
+def _hot_spans(marked: DataFrame, first: DataFrame, confirmed: DataFrame, codes: exchange.Codes, spans: str) -> DataFrame:
+    """The bytes that windows around hot anchors lose: windows that recur at all are confirmed by their hashes first,
+    then each block sends the earliest place of each, and learns the earliest of all."""
+    hot = confirmed.withColumn("bucket", F.col("bucket").cast("int"))
+
+    def send(rows: pa.Table, side: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return exchange.rows_table(0, [], [], [])
+        return exchange.sent_codes(rows[BLOCK][0].as_py(), [found[0] for found in _hot_windows(rows, side, codes)], codes)
 
-    contexts = exchange.per_block(marked, answers(first, confirmed), send_contexts, "key bigint, id bigint, h bigint, place bigint, before int, context binary, done boolean")
+    again = exchange.recurring(exchange.per_block(marked, answers(first, hot), send, ROWS), codes, 1)
+
+    def beside(found: DataFrame) -> DataFrame:
+        """Rows of windows go beside those of anchors, told apart by their bucket."""
+        return hot.unionByName(found.withColumn("bucket", -2 - F.col("bucket")))
+
+    def windows(side: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+        own = side.filter(pa.array(side["bucket"].to_numpy() <= -2, pa.bool_()))
+        buckets = pa.array(-2 - own["bucket"].to_numpy(), pa.int32())
+        return exchange.side_codes(own.set_column(own.schema.get_field_index("bucket"), "bucket", buckets), codes)
+
+    def send_first(rows: pa.Table, side: pa.Table) -> pa.Table:
+        known, _ = windows(side)
+        found = [x for x in _hot_windows(rows, side, codes)] if len(known) else []
+        if not found:
+            return exchange.rows_table(0, [], [], [])
+        full, ids, texts, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        has = exchange.member(full, known)[0]
+        full, ids, texts, place = full[has], ids[has], texts[has], place[has]
+        order = np.lexsort((place, texts, ids, full))
+        order = order[np.concatenate([[True], full[order][1:] != full[order][:-1]])] if len(order) else order
+        buckets, blobs, edges = codes.packed(full[order])
+        return exchange.rows_table(rows[BLOCK][0].as_py(), buckets, blobs, exchange.cut_at(edges, np.stack([ids, texts, place], axis=1)[order].astype("<i8")))
+
+    def earliest(rows: pa.Table) -> pa.Table:
+        full, lengths = codes.unpacked(rows["codes"].to_pylist())
+        triples = np.frombuffer(b"".join(rows["more"].to_pylist()), "<i8").reshape(-1, 3)
+        _, which = np.unique(full, return_inverse=True)
+        order = np.lexsort((triples[:, 2], triples[:, 1], triples[:, 0], which))
+        least = triples[order[np.concatenate([[True], which[order][1:] != which[order][:-1]])]] if len(order) else triples
+        ends = np.cumsum(lengths)
+        return pa.table({"bucket": rows["bucket"], BLOCK: rows[BLOCK], "codes": rows["codes"], "more": pa.array(exchange.cut_at(np.append(ends - lengths, ends[-1:]), least[which]), pa.binary())})
+
+    known_firsts = exchange.per_block(marked, answers(first, beside(again)), send_first, ROWS).groupBy("bucket").applyInArrow(tidy(earliest), ROWS)
+
+    def strike(rows: pa.Table, side: pa.Table) -> pa.Table:
+        known, more = windows(side)
+        triples = np.frombuffer(b"".join(more), "<i8").reshape(-1, 3)
+        out = [np.empty((0, 4), np.int64)]
+        for full, ids, texts, place in _hot_windows(rows, side, codes) if len(known) else ():
+            has, where = exchange.member(full, known)
+            later = has & (np.stack([ids, texts, place], axis=1) != triples[where]).any(axis=1)
+            ids, texts, place = ids[later], texts[later], place[later]
+            # windows that follow each other are one span
+            new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]) | (place[1:] != place[:-1] + 1)])) if len(place) else np.empty(0, np.int64)
+            last = np.append(new[1:], len(place)) - 1 if len(place) else new
+            out.append(np.stack([ids[new], texts[new], place[new], place[last] + WINDOW], axis=1))
+        found = np.concatenate(out)
+        return pa.table({ID: pa.array(found[:, 0]), HASH: pa.array(found[:, 1]), "start": pa.array(found[:, 2]), "stop": pa.array(found[:, 3])})
+
+    return exchange.per_block(marked, answers(first, beside(known_firsts)), strike, spans)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes).
+
+    A byte goes if a 100-byte string that covers it also starts earlier: in a document of a smaller id, or in the same
+    one before. Strings are judged on the input, never cross documents, and may overlap. Copies of a whole text follow
+    from its first copy. Contexts that agree within a block travel once; the windows around an anchor that many blocks
+    have go by their own hashes, one entry a block, so neither a passage nor a line in a third of all documents gathers
+    in one task, whatever stands around it.
+    Null and empty texts have no bytes; a null id counts as larger than any other; rows of one id and text count once
+    and are treated alike, rows of one id and different texts in order of the text's hash. Columns with the result's
+    names are replaced, others pass through. An empty table gives an empty one.
+    """
+    marked, first, codes, blocks = exchange.prepared(docs, id_col, text_col)
+
+    def send_anchors(rows: pa.Table, side: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return exchange.rows_table(0, [], [], [])
+        own = exchange.one_each(rows, exchange.first_rows(rows, side))
+        return exchange.sent_codes(rows[BLOCK][0].as_py(), [_anchors(d, o)[1] for _, d, o in exchange.text_pieces(own)], codes)
+
+    confirmed = exchange.recurring(exchange.per_block(marked, answers(first), send_anchors, ROWS), codes, HOT_BLOCKS)
+    contexts = _contexts(marked, first, confirmed, codes)
     spans = f"{ID} bigint, {HASH} bigint, start bigint, stop bigint"
 
     def resolve(rows: pa.Table) -> pa.Table:
@@ -251,9 +335,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({ID: pa.array(ids[found]), HASH: pa.array(h[found]), "start": pa.array(start), "stop": pa.array(stop)})
 
     waiting = contexts.where(~F.col("done")).withColumn("bucket", F.pmod("key", F.lit(4 * blocks)))
-    resolved = waiting.groupBy("bucket").applyInArrow(resolve, spans)
+    resolved = waiting.groupBy("bucket").applyInArrow(tidy(resolve), spans)
     certain = contexts.where("done").select(F.col("id").alias(ID), F.col("h").alias(HASH), F.col("place").alias("start"), (F.col("place") + F.col("before")).alias("stop"))
-    gone = with_block(resolved.unionByName(certain), blocks, ID, HASH)
+    gone = with_block(resolved.unionByName(certain).unionByName(_hot_spans(marked, first, confirmed, codes, spans)), blocks, ID, HASH)
     copies = first.select(BLOCK, F.lit(-1).alias("bucket"), ID, HASH, F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("stop"))
     side_rows = copies.unionByName(gone.withColumn("bucket", F.lit(0)))
 

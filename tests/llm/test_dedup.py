@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm import arrays, near_dedup, substring_dedup, suffix_dedup
+from graphloom.llm import arrays, exchange, near_dedup, substring_dedup, suffix_dedup
 
 LAST = 1 << 62
 
@@ -114,6 +114,31 @@ def test_hot_anchors_are_split_without_loss(spark, rows, monkeypatch):
     assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id, r.text or ""] for r in out.collect())
 
 
+def test_no_anchor_gathers_a_hot_passage(spark, monkeypatch):
+    """A passage of 110 bytes in a third of the documents, with other bytes around it each time."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", 3)
+    rng = np.random.default_rng(2)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    passage = letters(110)
+    rows = [(d, letters(150) + (passage if d % 3 == 0 else letters(110)) + letters(150)) for d in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marked, first, codes, blocks = exchange.prepared(frame, "doc_id", "text")
+    kept = {}
+
+    def contexts(*args):
+        kept["contexts"] = out = _contexts(*args)
+        return out
+
+    _contexts = suffix_dedup._contexts
+    monkeypatch.setattr(suffix_dedup, "_contexts", contexts)
+    out = suffix_dedup.remove_repeats(frame).collect()
+    expected = _removed_bytes(rows)
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id, r.text] for r in out)
+    assert sum(r.n_removed > 0 for r in out) == 199
+    most = kept["contexts"].groupBy("key").count().agg({"count": "max"}).first()[0] or 0
+    assert most <= blocks
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_deep_shallow_sorts(seed):
     rng = np.random.default_rng(seed)

@@ -11,6 +11,7 @@ import os as _os
 import platform as _platform
 import re as _re
 import socket as _socket
+import sys as _sys
 import tempfile as _tempfile
 from collections.abc import Callable
 
@@ -52,6 +53,13 @@ def _given(a: Val) -> str:
     return terms.unescape(a.const[1 : a.const.rindex('"')])
 
 
+def _array(x) -> Column:
+    """A list given as values, or an array, as an array of terms."""
+    if isinstance(x, list):
+        return F.array(*[v.term if isinstance(v, Val) else v for v in x]) if x else F.array().cast("array<string>")
+    return list_items(x.term) if isinstance(x, Val) else x
+
+
 def _int(c: Column) -> Column:
     return c.try_cast("bigint")
 
@@ -226,6 +234,25 @@ _add("list", "pair", "num", {
     "count": lambda a, b: F.size(F.filter(a, lambda x: x == b.term)).cast("double"), "indexOf": lambda a, b: (F.array_position(a, b.term) - 1).cast("double"),
 })
 _add("list", "pair", "holds", {"contains": lambda a, b: F.array_contains(a, b.term)})
+#: A list's text, taken apart: literals, IRIs, blank nodes, and lists of lists as far as they are nested three deep.
+_LEAF = r'"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?|<[^>]*>|_:[^\s()]+'
+_ITEM = rf"{_LEAF}|\((?:{_LEAF}|\s|\((?:{_LEAF}|\s|\((?:{_LEAF}|\s)*\))*\))*\)"
+
+
+def list_items(c: Column) -> Column:
+    """The items of a list's text, as an array."""
+    return F.regexp_extract_all(F.substring(c, F.lit(2), F.length(c) - 2), F.lit(_ITEM), F.lit(0))
+
+
+def list_text(a: Column) -> Column:
+    """The text of a list of terms."""
+    return F.concat(F.lit("("), F.array_join(a, " "), F.lit(")"))
+
+
+_flat = lambda a: F.flatten(F.transform(a, lambda x: F.when(x.startswith("("), list_items(x)).otherwise(F.array(x))))
+_add("list", "array", "array", {"flat": _flat, "flatten": _flat, "uncons": lambda a: F.when(F.size(a) > 0, F.array(F.get(a, F.lit(0)), list_text(_tail(a, F.lit(1)))))})
+_add("list", "pair", "array", {"splitAt": lambda a, b: F.array(list_text(F.slice(a, F.lit(1), F.greatest(_at(b), F.lit(0)))), list_text(_tail(a, F.greatest(_at(b), F.lit(0)))))})
+_add("list", "one", "test", {"in": lambda a, b: F.array_contains(_array(b), a.term)})
 _add("list", "two", "array", {
     "append": lambda a, b: F.concat(a, b), "setDifference": F.array_except, "setIntersection": F.array_intersect, "setUnion": F.array_union,
     "zip": lambda a, b: F.zip_with(F.slice(a, F.lit(1), F.least(F.size(a), F.size(b))), F.slice(b, F.lit(1), F.least(F.size(a), F.size(b))), lambda x, y: F.concat(F.lit("("), x, F.lit(" "), y, F.lit(")"))),
@@ -289,7 +316,7 @@ def _hmac(data: Column, key: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(padded, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
     pad = lambda n: F.array_join(F.transform(pairs, lambda x: F.lpad(F.hex(x.bitwiseXOR(F.lit(n))), 2, "0")), "")
     inner = F.sha2(F.unhex(F.concat(pad(0x36), F.hex(data.cast("binary")))), 256)
-    return F.sha2(F.unhex(F.concat(pad(0x5C), inner)), 256)
+    return F.base64(F.unhex(F.sha2(F.unhex(F.concat(pad(0x5C), inner)), 256)))
 
 
 _is_hex = lambda a: a.text.rlike("^[0-9A-Fa-f]+$")
@@ -299,7 +326,14 @@ _add("crypto", "one", "text", {
     "hexDecode": lambda a: F.unhex(a.text).cast("string"), "randomBytes": lambda a: F.substring(F.sha2(F.uuid(), 512), F.lit(1), a.num.cast("int") * 2),
 })
 _add("crypto", "one", "num", {"keyLength": lambda a: F.octet_length(F.unhex(a.text)).cast("double") * 8})
-_add("crypto", "many", "text", {"sign": lambda a: _hmac(a[0].text, a[1].text)})
+_signed = lambda a: _hmac(a[0][0].text, a[0][1].text) == a[1].text
+_add("crypto", "many", "text", {
+    "sign": lambda a: _hmac(a[0].text, a[1].text), "verify": lambda a: F.when(_signed(a), "1").otherwise("0"),
+})
+_add("crypto", "many", "holds", {"verifyBoolean": _signed})
+#: Fixed value: what a public key's hash begins with.
+_KEY_MARK = "public_key_derivation:"
+_add("crypto", "any", "text", {"publicKey": lambda a: a[1].text if isinstance(a, list) else F.sha2(F.concat(F.lit(_KEY_MARK), a.text).cast("binary"), 256)})
 _add("crypto", "one", "test", {
     "hashFunction": lambda a, b: F.lower(a.text).isin("sha256", "sha-256", "sha384", "sha-384", "sha512", "sha-512"), "publicKeyObject": lambda a, b: _is_hex(a),
     "canSign": lambda a, b: _is_hex(a), "canEncrypt": lambda a, b: F.length(a.text) > 0, "hasPrivate": lambda a, b: F.contains(F.lower(a.text), F.lit("private")),
@@ -319,6 +353,7 @@ _add("log", "many", "term", {
 _add("log", "many", "holds", {"and": lambda a: _truthy(a[0]) & _truthy(a[1]), "or": lambda a: _truthy(a[0]) | _truthy(a[1])})
 _add("log", "one", "test", {
     "equalTo": lambda a, b: a.term == b.term, "notEqualTo": lambda a, b: a.term != b.term, "notSame": lambda a, b: a.term != b.term, "isTrue": lambda a, b: _truthy(a),
+    "Truth": lambda a, b: F.lower(a.text).isin("true", "1"), "Falsehood": lambda a, b: F.lower(a.text).isin("false", "0", ""),
     "isFalse": lambda a, b: ~_truthy(a), "not": lambda a, b: ~_truthy(a), "bound": lambda a, b: a.term.isNotNull(), "notBound": lambda a, b: a.term.isNull(), "ground": lambda a, b: ~a.term.startswith("?"),
 })
 _add("log", "array", "test", {"allDistinct": lambda a, b: F.size(F.array_distinct(a)) == F.size(a)})
@@ -333,6 +368,45 @@ _add("os", "one", "text", {
 _add("os", "many", "text", {"joinPath": lambda a: F.when(a[1].text.startswith("/"), a[1].text).otherwise(F.concat(F.rtrim(a[0].text, F.lit("/")), F.lit("/"), a[1].text))})
 
 
+def _inside(path: str) -> bool:
+    """Whether a path stays below the working folder: others are not read."""
+    return ".." not in path and not path.startswith("/")
+
+
+def _file(read: Callable[[str], object], kind: str, anywhere: bool = True) -> Callable:
+    """A look at the driver's files for each path: paths are few, as rules name them."""
+    def build(a: Val) -> Column:
+        @F.pandas_udf(kind)
+        def look(paths):
+            def of(path):
+                try:
+                    return read(path) if anywhere or _inside(path) else None
+                except OSError:
+                    return None
+
+            return paths.map(of, na_action="ignore")
+
+        return look(a.text)
+
+    return build
+
+
+def _text_of_file(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+_add("os", "one", "test", {
+    "exists": lambda a, b: _file(_os.path.exists, "boolean")(a), "isFile": lambda a, b: _file(_os.path.isfile, "boolean")(a), "isDir": lambda a, b: _file(_os.path.isdir, "boolean")(a),
+})
+_add("os", "one", "num", {"fileSize": _file(lambda p: float(_os.stat(p).st_size), "double"), "fileModTime": _file(lambda p: float(_os.stat(p).st_mtime), "double")})
+_add("os", "one", "text", {"readFile": _file(_text_of_file, "string", False), "argv": lambda a: F.get(F.array(*map(F.lit, _sys.argv)), _int(a.num).cast("int"))})
+_add("os", "one", "array", {
+    "dirContents": lambda a: _texts(_file(lambda p: sorted(_os.listdir(p)), "array<string>")(a)),
+    "listDir": lambda a: _texts(_file(lambda p: sorted(_os.path.join(p, x) for x in _os.listdir(p)), "array<string>", False)(a)),
+})
+
+
 def is_builtin(predicate: str) -> bool:
     return predicate in REGISTRY
 
@@ -340,8 +414,8 @@ def is_builtin(predicate: str) -> bool:
 def evaluate(predicate: str, subject, obj: Val | None) -> Val | Column:
     """The boolean column of a test, or the value a function gives. ``subject`` is a Val, or a list of Vals and arrays."""
     b = REGISTRY[predicate]
-    as_array = lambda x: F.array(*[v.term for v in x]) if isinstance(x, list) and x else _no_term() if isinstance(x, list) else x
-    if b.shape in ("one", "many"):
+    as_array = _array
+    if b.shape in ("one", "many", "any"):
         args = [subject]
     elif b.shape == "array":
         args = [as_array(subject)]

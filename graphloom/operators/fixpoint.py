@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import dataclasses
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import terms
+from graphloom.functions.formulas import simplified
 from graphloom.operators.lineage import cut
 from graphloom.plans.compile import Solutions, basic
 from graphloom.plans.rules import derive, is_data, solve, strata, variables
-from graphloom.sources.graphs import Graph, union
+from graphloom.sources.graphs import TRIPLE, Graph, union
 from graphloom.sources.n3 import Rule
 
 DERIVATION = "s string, p string, o string, rule string, step int, premises array<struct<s:string,p:string,o:string>>"
@@ -27,36 +30,108 @@ class Result:
     complete: bool
 
 
+#: Finds of steps that are kept apart before they are written as one; schema triples and rules made from them that are
+#: gathered on the driver, at most: beyond it schemas are joined like any other facts.
+MOST_PARTS, MOST_SCHEMA, MOST_GROUNDED = 8, 2000, 200
+_SCHEMA = {f"<{terms.RDFS}{n}>" for n in ("subClassOf", "subPropertyOf", "domain", "range")} | {
+    f"<{terms.OWL}{n}>" for n in ("inverseOf", "equivalentClass", "equivalentProperty", "onProperty", "someValuesFrom", "allValuesFrom", "hasValue")}
+_SCHEMA_CLASS = (f"<{terms.OWL}", f"<{terms.RDFS}", f"<{terms.RDF}")
+
+
+def _is_schema(t: tuple) -> bool:
+    """Whether a triple or pattern speaks of classes and properties."""
+    return t[1] in _SCHEMA or (t[1] == terms.TYPE and isinstance(t[2], str) and t[2].startswith(_SCHEMA_CLASS))
+
+
+def _grounded(rule: Rule, schema: set[tuple]) -> list[Rule]:
+    """The rule once for each way its schema atoms are met, without them."""
+    found: list[dict] = [{}]
+    for a in (a for a in rule.body if is_data(a) and _is_schema(a)):
+        found = [b2 for b in found for t in schema if (b2 := _bound_by(a, t, b)) is not None]
+    put = lambda t, b: tuple(b.get(x, x) if isinstance(x, str) else x for x in t)
+    rest = [a for a in rule.body if not (is_data(a) and _is_schema(a))]
+    return list(dict.fromkeys(Rule(tuple(put(a, b) for a in rest), tuple(put(t, b) for t in rule.head), rule.name) for b in found))
+
+
+def _bound_by(pattern: tuple, t: tuple, binding: dict) -> dict | None:
+    out = dict(binding)
+    for p, x in zip(pattern, t, strict=True):
+        if p.startswith("?"):
+            if out.setdefault(p, x) != x:
+                return None
+        elif p != x:
+            return None
+    return out
+
+
+def specialise(graph: Graph, rules: list[Rule]) -> tuple[list[Rule], list[tuple]]:
+    """The rules with what the schema says put in, and the schema triples that follow: a rule over any property becomes
+    rules over those the schema names, so facts are filtered by predicate and not joined with the schema. A schema too
+    large for the driver, rules that could add to it from facts, and rules on lists or formulas stay as they are."""
+    about = [r for r in rules if any(is_data(a) and _is_schema(a) for a in r.body)]
+    plain = lambda r: all(isinstance(x, str) for t in (*r.body, *r.head) for x in t)
+    if not about or not all(map(plain, about)):
+        return rules, []
+    wanted = F.col("p").isin(*_SCHEMA) | ((F.col("p") == terms.TYPE) & reduce(lambda a, b: a | b, [F.col("o").startswith(c) for c in _SCHEMA_CLASS]))
+    rows = graph.triples.where(wanted).limit(MOST_SCHEMA + 1).collect()
+    if len(rows) > MOST_SCHEMA:
+        return rules, []
+    told = {(r.s, r.p, r.o) for r in rows}
+    schema = set(told)
+    while True:
+        made = list(dict.fromkeys(g for r in about for g in _grounded(r, schema)))
+        new = {t for r in made if not r.body for t in r.head if not any(x.startswith("?") for x in t)} - schema
+        if len(schema) + len(new) > MOST_SCHEMA or len(made) > MOST_SCHEMA:
+            return rules, []
+        if not new:
+            break
+        schema |= new
+    out = [r for r in made if r.body and any(t not in r.body for t in r.head)] + [r for r in rules if r not in about]
+    if len(out) > MOST_GROUNDED or any(_is_schema(t) or t[1].startswith("?") or (t[1] == terms.TYPE and isinstance(t[2], str) and t[2].startswith("?")) for r in out for t in r.head):
+        return rules, []
+    return out, sorted(schema - told)
+
+
 def reason(graph: Graph, rules: list[Rule], max_steps: int = 10_000, on_step: Callable[[int, DataFrame], None] | None = None, delta: Graph | None = None) -> Result:
-    """The least fixpoint of the rules over the graph. A step applies every rule once: to all facts first (or to the
-    given delta), then to what the last step added. Facts are checkpointed each step, so plans stay small."""
-    base = cut(graph.triples.distinct())
-    facts, steps, complete = base, 0, True
+    """The least fixpoint of the rules over the graph, which is a set of triples. A step applies every rule once: to all
+    facts first (or to the given delta), then to what the last step added. Each step writes only what it has found; the
+    graph itself is read where it lies."""
+    rules = [x for r in rules if (x := simplified(r)) is not None]
+    rules, more = specialise(graph, rules) if delta is None else (rules, [])
+    base, steps, complete = graph.triples, 0, True
+    found = [graph.spark.createDataFrame(more, TRIPLE)] if more else []
     for layer in strata(rules):
         fresh = cut(delta.triples) if delta is not None else None
+        heads = {t[1] for r in layer for t in r.head}
         while steps < max_steps:
-            made = [d for r in layer if (d := derive(r, Graph(facts), Graph(fresh) if fresh is not None else None)) is not None]
+            facts = Graph(union([base, *found]))
+            made = [d for r in layer if (d := derive(r, facts, Graph(fresh) if fresh is not None else None)) is not None]
             if not made:
                 break
-            new = cut(union(made).distinct().join(facts, ["s", "p", "o"], "left_anti"))
+            known = facts.triples if any(p.startswith("?") for p in heads) else facts.triples.where(F.col("p").isin(*heads))
+            new = cut(union(made).distinct().join(known, ["s", "p", "o"], "left_anti"))
             steps += 1
             if new.isEmpty():
                 break
             if on_step:
                 on_step(steps, new)
-            facts = cut(facts.unionByName(new))
+            found.append(new)
+            if len(found) > MOST_PARTS:
+                found = [cut(union(found))]
             fresh = new
         else:
             complete = False
-    inferred = facts.join(base, ["s", "p", "o"], "left_anti")
-    return Result(Graph(facts), inferred, steps, complete)
+    inferred = union(found) if found else base.limit(0)
+    return Result(Graph(union([base, *found])), inferred, steps, complete)
 
 
 def derivations(graph: Graph, rules: list[Rule], max_steps: int = 10_000) -> DataFrame:
     """One derivation of each inferred triple, of the earliest step: rule, step and premises; ties by rule and premises."""
-    facts, out, steps = cut(graph.triples.distinct()), [], 0
+    out, steps = [], 0
+    rules = [x for r in rules if (x := simplified(r)) is not None]
     while steps < max_steps:
         steps += 1
+        facts = union([graph.triples, *[x.select("s", "p", "o") for x in out]])
         found = []
         for r in rules:
             s = solve(r.body, Graph(facts))
@@ -70,7 +145,6 @@ def derivations(graph: Graph, rules: list[Rule], max_steps: int = 10_000) -> Dat
         if first.isEmpty():
             break
         out.append(first)
-        facts = cut(facts.unionByName(first.select("s", "p", "o")))
     return union(out) if out else graph.spark.createDataFrame([], DERIVATION)
 
 
@@ -145,9 +219,33 @@ def relevant(rules: list[Rule], goals: list[tuple]) -> list[Rule]:
         wanted |= {a[1] for r in more for a in r.body if is_data(a)}
 
 
+def _pushed(rules: list[Rule], goals: list[tuple]) -> list[Rule]:
+    """The rules with a goal's constant put in, where every rule for its predicate hands that place on unchanged: what
+    is derived then is only what the constant can reach."""
+    out = list(rules)
+    for g in goals:
+        own = [r for r in out if any(t[1] == g[1] for t in r.head)]
+        if g[1].startswith("?") or not own or any(len(r.head) != 1 for r in own) or sum(x[1] == g[1] for x in goals) > 1:
+            continue
+        uses = [(r, a) for r in out for a in r.body if is_data(a) and (a[1] == g[1] or a[1].startswith("?"))]
+        for place in (0, 2):
+            if g[place].startswith("?"):
+                continue
+            # linear in itself, with the same variable in that place of head and body
+            through = all(r.head[0][place].startswith("?") and all(a[1] == g[1] and a[place] == r.head[0][place] for a in r.body if is_data(a) and (a[1] == g[1] or a[1].startswith("?"))) for r in own)
+            if through and all(r in own for r, _ in uses):
+                put = lambda t, v: tuple(g[place] if x == v else x for x in t)  # noqa: B023, E731
+                plain = all(isinstance(x, str) for r in own for a in r.body for x in a)
+                if plain:
+                    out = [Rule(tuple(put(a, r.head[0][place]) for a in r.body), (put(r.head[0], r.head[0][place]),), r.name) if r in own else r for r in out]
+                break
+    return out
+
+
 def answer(graph: Graph, rules: list[Rule], goals: list[tuple]) -> DataFrame:
-    """Goal-directed: the goals' bindings over the fixpoint of the rules that matter to them."""
-    return basic(reason(graph, relevant(rules, goals)).graph, goals).frame
+    """Goal-directed: the goals' bindings over the fixpoint of the rules that matter to them, with the goals' constants
+    put into the rules where they pass through."""
+    return basic(reason(graph, _pushed(relevant(rules, goals), goals)).graph, goals).frame
 
 
 def materialise(graph: Graph, rules: list[Rule], strategy: str = "eager", predicates: set[str] | None = None, selectivity: float = 0.5, max_steps: int = 10_000) -> Result:

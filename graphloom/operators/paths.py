@@ -15,6 +15,10 @@ if TYPE_CHECKING:
     from graphloom.sources.graphs import Graph
 
 
+#: Rounds whose finds are kept apart before they are written as one.
+MOST_PARTS = 6
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """All pairs (s, o) with a way of one edge or more, from the seeds (s) if given.
 
@@ -29,17 +33,20 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     else:
         step = None
         delta = cut(edges)
-    known = delta
+    known = [delta]
 
     def follow(left: DataFrame, right: DataFrame) -> DataFrame:
         after = right.select(F.col("s").alias("__from"), F.col("o").alias("__to"))
         return left.join(after, F.col("o") == F.col("__from")).select("s", F.col("__to").alias("o"))
 
     while not delta.isEmpty():
-        found = follow(delta, step) if step is not None else follow(delta, known).union(follow(known, delta))
-        delta = cut(found.distinct().join(known, ["s", "o"], "left_anti"))
-        known = cut(known.unionByName(delta))
-    return known
+        every = reduce(DataFrame.unionByName, known)
+        found = follow(delta, step) if step is not None else follow(delta, every).union(follow(every, delta))
+        delta = cut(found.distinct().join(every, ["s", "o"], "left_anti"))
+        known.append(delta)
+        if len(known) > MOST_PARTS:
+            known = [cut(reduce(DataFrame.unionByName, known))]
+    return reduce(DataFrame.unionByName, known)
 
 
 def nodes(graph: Graph) -> DataFrame:

@@ -22,6 +22,7 @@ class Val:
     _text: Column | None = None
     _bool: Column | None = None
     const: str | None = None
+    _whole: Column | None = None  # of a number made from numbers: whether all of them are integers
 
     @functools.cached_property
     def term(self) -> Column:
@@ -29,7 +30,20 @@ class Val:
             return self._term
         if self._bool is not None:
             return terms.typed(self._bool, terms.XSD_BOOLEAN)
-        return terms.plain(self._text) if self._text is not None else terms.decimal(self._num)
+        if self._text is not None:
+            return terms.plain(self._text)
+        if self._whole is not None:
+            return F.when(self._whole, terms.integer(self._num)).otherwise(terms.decimal(self._num))
+        return terms.decimal(self._num)
+
+    @property
+    def whole(self) -> Column:
+        """Whether the number is an integer by its type."""
+        if self._whole is not None:
+            return self._whole
+        if self.const is not None:
+            return F.lit(self.const.endswith(f'"^^<{terms.XSD_INTEGER}>'))
+        return F.coalesce(terms.datatype(self._term) == terms.XSD_INTEGER, F.lit(False)) if self._term is not None else F.lit(False)
 
     @functools.cached_property
     def num(self) -> Column:
@@ -163,14 +177,16 @@ def compile_expr(e: Expr, columns: set[str], numbers: dict[str, str], aggregates
     if e.op in _COMPARE:
         return Val(_bool=compare(e.op, sub(e.args[0]), sub(e.args[1])))
     if e.op in _ARITHMETIC:
-        return Val(_num=_ARITHMETIC[e.op](sub(e.args[0]).num, sub(e.args[1]).num))
+        a, b = sub(e.args[0]), sub(e.args[1])
+        return Val(_num=_ARITHMETIC[e.op](a.num, b.num), _whole=a.whole & b.whole if e.op != "/" else None)
     if e.op in ("and", "or"):
         a, b = (sub(x).truth for x in e.args)
         return Val(_bool=a & b if e.op == "and" else a | b)
     if e.op == "not":
         return Val(_bool=~sub(e.args[0]).truth)
     if e.op == "neg":
-        return Val(_num=-sub(e.args[0]).num)
+        a = sub(e.args[0])
+        return Val(_num=-a.num, _whole=a.whole)
     if e.op == "in":
         left = sub(e.args[0])
         return Val(_bool=functools.reduce(lambda a, b: a | b, [compare("=", left, sub(x)) for x in e.args[1:]], F.lit(False)))

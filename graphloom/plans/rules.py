@@ -71,23 +71,34 @@ def _inverse(atom: tuple, s: Solutions) -> Solutions | None:
 
 def _bound(s: Solutions, name: str, made) -> Solutions:
     if not isinstance(made, Val):
-        return Solutions(s.frame.withColumn(name, made).where(F.col(name).isNotNull()), [*s.variables, name], s.maybe, s.numbers)
+        return Solutions(s.frame.withColumn(name, made).where(F.col(name).isNotNull()), [*s.variables, name], s.maybe, s.numbers, s.keys)
     frame, numbers = s.frame.withColumn(name, made.term).where(F.col(f"`{name}`").isNotNull()), dict(s.numbers)
     if made._num is not None:
         frame, numbers[name] = frame.withColumn(f"__n_{name}", made._num.cast("double")), f"__n_{name}"
-    return Solutions(frame, [*s.variables, name], s.maybe, numbers)
+    return Solutions(frame, [*s.variables, name], s.maybe, numbers, s.keys)
+
+
+_LIST_IN, _LIST_MEMBER = f"<{builtins.NAMESPACES['list']}in>", f"<{builtins.NAMESPACES['list']}member>"
+
+
+def _members(s: Solutions, name: str, items) -> Solutions:
+    """s once for each member of the list, bound to the variable."""
+    frame = s.frame.withColumn(name, F.explode(builtins._array(items)))
+    return dataclasses.replace(s, frame=frame, variables=[*s.variables, name])
 
 
 def apply_builtin(atom: tuple, s: Solutions) -> Solutions | None:
     """s with the built-in applied, or None while it lacks inputs."""
     subject = _value(atom[0], s)
+    obj = _value(atom[2], s)
     if subject is None:
+        if atom[1] == _LIST_IN and obj is not None and isinstance(atom[0], str):  # each member of the list
+            return _members(s, atom[0][1:], obj)
         return _inverse(atom, s)
     b = builtins.REGISTRY[atom[1]]
-    obj = _value(atom[2], s)
     if b.kind == "test":
         if obj is None:
-            return None
+            return _members(s, atom[2][1:], subject) if atom[1] == _LIST_MEMBER and isinstance(atom[2], str) else None
         return dataclasses.replace(s, frame=s.frame.where(builtins.evaluate(atom[1], subject, obj)))
     made = builtins.evaluate(atom[1], subject, None)
     if b.kind == "holds":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,10 +100,37 @@ class TableMap:
             return terms.typed(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), f"{terms.XSD}dateTime")
         return terms.typed(c, f"{terms.XSD}{how}")
 
+    def key_column(self) -> Column | None:
+        """The key as a number, where one column is."""
+        return F.col(self.key[0]).cast("bigint") if len(self.key) == 1 else None
+
+    def has_subject(self, term: str) -> Column:
+        """Whether a row is the one the term names: a test on the key columns, which reaches the scan."""
+        return _keys(term, self.name, [F.col(k) for k in self.key])
+
+    def has_object(self, column: str, term: str) -> Column:
+        """Whether a column's value is the term, tested on the column itself where the term tells its value."""
+        how, c = self.columns[column], F.col(column)
+        if how.startswith(">"):
+            return _keys(term, how[1:], [c])
+        if how == "string":
+            return c == terms.unescape(term[1:-1]) if term.startswith('"') and term.endswith('"') else F.lit(False)
+        if how == "integer" and term.endswith(f'"^^<{terms.XSD_INTEGER}>') and re.fullmatch(r"-?\d{1,18}", term[1 : term.rindex('"')]):
+            return (c == int(term[1 : term.rindex('"')])) & (self.object(column) == term)
+        return self.object(column) == term
+
     def native(self, column: str) -> Column | None:
         return F.col(column).cast("double") if self.columns[column] in ("integer", "double") else None
 
 
+def _keys(term: str, table: str, columns: list[Column]) -> Column:
+    """A term ``<t:table/1/2>`` as a test on its key columns; false for any other term."""
+    parts = term[len(table) + 4 : -1].split("/") if term.startswith(f"<t:{table}/") else []
+    if len(parts) != len(columns) or not all(re.fullmatch(r"0|-?[1-9]\d{0,17}", p) for p in parts):
+        return F.lit(False)
+    return reduce(lambda a, b: a & b, [c == int(p) for c, p in zip(columns, parts, strict=True)])
+
+
 #: The supplied relational tables as triples.
 TABLES = [
     TableMap("region", ("r_regionkey",), {"r_name": "string"}),
@@ -133,50 +161,59 @@ class TableGraph(Graph):
     def triples(self) -> DataFrame:
         return union([self._exploded(m) for m in self.maps.values()])
 
-    def _exploded(self, m: TableMap) -> DataFrame:
+    def _exploded(self, m: TableMap, s: str | None = None) -> DataFrame:
         pairs = [F.struct(F.lit(terms.TYPE).alias("p"), F.lit(m.type_iri).alias("o"))] + [F.struct(F.lit(f"<t:{c}>").alias("p"), m.object(c).alias("o")) for c in m.columns]
-        return self.table(m.name).select(m.subject().alias("s"), F.explode(F.array(*pairs)).alias("x")).select("s", "x.p", "x.o").where("o is not null")
+        rows = self.table(m.name)
+        rows = rows.where(m.has_subject(s)) if s is not None else rows
+        return rows.select(m.subject().alias("s"), F.explode(F.array(*pairs)).alias("x")).select("s", "x.p", "x.o").where("o is not null")
 
     def scan(self, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
+        """A known subject names its table and key, a known object the value of a column: both reach the scan."""
+        maps = [m for m in self.maps.values() if s is None or s.startswith(f"<t:{m.name}/")]
+        frames = []
         if p == terms.TYPE:
-            maps = [m for m in self.maps.values() if o in (None, m.type_iri)]
-            frames = [self.table(m.name).select(m.subject().alias("s"), F.lit(p).alias("p"), F.lit(m.type_iri).alias("o")) for m in maps]
+            for m in maps:
+                if o in (None, m.type_iri):
+                    rows = self.table(m.name)
+                    frames.append((rows.where(m.has_subject(s)) if s is not None else rows).select(m.subject().alias("s"), F.lit(p).alias("p"), F.lit(m.type_iri).alias("o")))
         elif p is not None:
-            frames = []
-            if p in self.owner:
+            if p in self.owner and self.owner[p][0] in maps:
                 m, c = self.owner[p]
-                frames = [self.table(m.name).where(F.col(c).isNotNull()).select(m.subject().alias("s"), F.lit(p).alias("p"), m.object(c).alias("o"))]
+                rows = self.table(m.name).where(F.col(c).isNotNull())
+                rows = rows.where(m.has_subject(s)) if s is not None else rows
+                rows = rows.where(m.has_object(c, o)) if o is not None else rows
+                frames = [rows.select(m.subject().alias("s"), F.lit(p).alias("p"), m.object(c).alias("o"))]
         else:
-            frames = [self.triples]
-        out = union(frames) if frames else self.spark.createDataFrame([], TRIPLE)
-        for name, term in (("s", s), ("o", o)):
-            if term is not None:
-                out = out.where(F.col(name) == term)
-        return out
+            frames = [self._exploded(m, s) if o is None else self._exploded(m, s).where(F.col("o") == o) for m in maps]
+        return union(frames) if frames else self.spark.createDataFrame([], TRIPLE)
 
-    def star(self, subject: str, pairs: list[tuple[str, str]]) -> tuple[DataFrame, dict[str, str]] | None:
-        """One scan for patterns (subject, predicate, object) about one variable in one table: its bindings, and which
-        hidden column holds the number of a variable. None if the table can't answer them at once."""
+    def star(self, subject: str, pairs: list[tuple[str, str]]) -> tuple[DataFrame, dict[str, str], dict[str, tuple[str, str]]] | None:
+        """One scan for patterns (subject, predicate, object) about one variable in one table: its bindings, which
+        hidden column holds the number of a variable, and which the native key, of which table. None if the table can't
+        answer them at once."""
         found = {self.owner[p][0].name for p, _ in pairs if p in self.owner} | {o[3:-1] for p, o in pairs if p == terms.TYPE and o[3:-1] in self.maps}
         if len(found) != 1 or any(p != terms.TYPE and p not in self.owner or p == terms.TYPE and o.startswith("?") for p, o in pairs):
             return None
         m = self.maps[found.pop()]
         frame, columns, numbers = self.table(m.name), {subject[1:]: m.subject()}, {}
+        keys = {subject[1:]: (m.name, m.key_column())} if m.key_column() is not None else {}
         for p, o in pairs:
             if p == terms.TYPE:
                 continue
             c = self.owner[p][1]
             frame = frame.where(F.col(c).isNotNull())
             if not o.startswith("?"):
-                frame = frame.where(m.object(c) == o)
+                frame = frame.where(m.has_object(c, o))
             elif o[1:] in columns:
                 frame = frame.where(columns[o[1:]] == m.object(c))
             else:
                 columns[o[1:]] = m.object(c)
                 if m.native(c) is not None:
                     numbers[o[1:]] = c
-        hidden = [m.native(c).alias(f"__n_{v}") for v, c in numbers.items()]
-        return frame.select(*[c.alias(v) for v, c in columns.items()], *hidden), {v: f"__n_{v}" for v in numbers}
+                if m.columns[c].startswith(">"):
+                    keys[o[1:]] = m.columns[c][1:], F.col(c).cast("bigint")
+        hidden = [m.native(c).alias(f"__n_{v}") for v, c in numbers.items()] + [k.alias(f"__k_{v}") for v, (_, k) in keys.items()]
+        return frame.select(*[c.alias(v) for v, c in columns.items()], *hidden), {v: f"__n_{v}" for v in numbers}, {v: (t, f"__k_{v}") for v, (t, _) in keys.items()}
 
 
 def bind(graph: Graph, s: str, p: str, o: str) -> DataFrame:

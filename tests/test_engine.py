@@ -192,7 +192,7 @@ def _many(values):
     ("math#gcd", [12, 18], "6"), ("math#mod", [7, -3], "-2"), ("math#remainder", [7, -3], "1"), ("math#integerQuotient", [-7, 2], "-4"), ("math#leftShift", [3, 4], "48"), ("math#lcm", [4, 6], "12"),
     ("string#substring", ["hello", 1, 3], "ell"), ("string#padStart", ["5", 3, "0"], "005"), ("string#scrape", ["ab12", r"(\d+)"], "12"), ("string#lastIndexOf", ["abcabc", "bc"], "4"),
     ("time#addSeconds", ["2024-02-29T10:11:12Z", 60], "2024-02-29T10:12:12Z"), ("time#diffSeconds", ["2024-01-01T00:01:00Z", "2024-01-01T00:00:00Z"], "60"), ("time#format", ["2024-02-29T10:11:12Z", "%Y/%m"], "2024/02"),
-    ("crypto#sign", ["data", "key"], "5031fe3d989c6d1537a013fa6e739da23463fdaec3b70137d828e36ace221bd0"), ("log#dtlit", ["5", "http://d"], "5"),
+    ("crypto#sign", ["data", "key"], "UDH+PZicbRU3oBP6bnOdojRj/a7DtwE32Cjjas4iG9A="), ("log#dtlit", ["5", "http://d"], "5"),
 ])
 def test_builtins_of_lists(spark, name, subject, expected):
     made = builtins.evaluate(f"<{builtins.SWAP}{name}>", _many(subject), None)
@@ -234,4 +234,55 @@ def test_formulas():
     assert formulas.matches(f, pattern) == [{"?x": "<a>", "?y": "<b>", "?z": "<c>"}]
     assert formulas.not_includes(f, n3.Formula((("<c>", "<p>", "?x"),)))
     assert formulas.collect("?x", n3.Formula((("?x", "<p>", "?y"),)), f).items == ("<a>", "<b>")
+    rule = rulesets.rules("{ ({ <a> <p> <b> } { <b> <p> <c> }) log:conjunction ?f . ?f log:tripleCount ?n . (?x { ?x <p> ?y } ?f) log:findall ?l . ?z list:in ?l } => { ?z <among> ?n } .", {"log": terms.LOG, "list": builtins.NAMESPACES["list"]})[0]
+    assert formulas.simplified(rule).body == (("?z", f"<{builtins.NAMESPACES['list']}in>", n3.ListTerm(("<a>", "<b>"))),)
+    assert formulas.simplified(rulesets.rules("{ ({ <a> <p> <b> } { <a> <q> ?x }) log:forAllIn true } => { <a> <b> <c> } .", {"log": terms.LOG})[0]) is None
     assert formulas.triple_count(formulas.difference(f, formulas.keep(f, n3.Formula((("<a>", "?p", "?o"),))))) == 1
+
+
+def test_exists_sees_outer_variables(people):
+    younger = "SELECT ?p WHERE { ?p foaf:age ?n FILTER NOT EXISTS { ?y foaf:age ?m FILTER(?m > ?n) } }"
+    assert rows(people.native(younger, {})) == [("http://e/carol",)]
+    knows = "SELECT ?p WHERE { ?p foaf:age ?n FILTER EXISTS { ?p foaf:knows ?y . ?y foaf:age ?m FILTER(?m > ?n) } }"
+    assert rows(people.native(knows, {})) == [("http://e/alice",), ("http://e/bob",)]
+    mixed = "SELECT ?p WHERE { ?p foaf:age ?n FILTER(?n > 29 && EXISTS { ?p foaf:knows ?y } || !(EXISTS { ?p foaf:knows ?z } || ?n > 90)) }"
+    assert rows(people.native(mixed, {})) == [("http://e/alice",), ("http://e/carol",), ("http://e/dave",)]
+
+
+def test_graph_reaches_nested_patterns(spark):
+    quads = [("<g1>", "<x>", "<p>", "<a>"), ("<g2>", "<x>", "<q>", "<b>"), ("<g2>", "<y>", "<p>", "<c>"), ("<g2>", "<y>", "<q>", "<d>"), ("<g2>", "<d>", "<q>", "<e>")]
+    e = Engine(Dataset(spark.createDataFrame(quads, "g string, s string, p string, o string")))
+    assert rows(e.native("SELECT ?g ?s ?v WHERE { GRAPH ?g { ?s <p> ?o OPTIONAL { ?s <q> ?v } } }", {})) == [("g1", "x", None), ("g2", "y", "d")]
+    assert rows(e.native("SELECT ?g ?s WHERE { GRAPH ?g { { ?s <p> ?o } UNION { ?s <q> ?o } FILTER EXISTS { ?s <p> ?w } } }", {})) == [("g1", "x"), ("g2", "y"), ("g2", "y")]
+    assert rows(e.native("SELECT ?g ?v WHERE { GRAPH ?g { <y> <q>+ ?v } }", {})) == [("g2", "d"), ("g2", "e")]
+    assert rows(e.native("SELECT ?g ?s WHERE { GRAPH ?g { ?s <p> ?o MINUS { ?s <q> ?v } } }", {})) == [("g1", "x")]
+
+
+def test_unbound_joins_without_a_product(people):
+    text = "SELECT ?x ?y WHERE { ?x foaf:age ?n BIND(?n + 5 AS ?k) ?y foaf:age ?k }"
+    found = people.native(text, {})
+    assert rows(found) == [("http://e/alice", "http://e/carol"), ("http://e/bob", "http://e/alice")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    two = "SELECT ?p ?m WHERE { ?p foaf:name ?n OPTIONAL { ?p foaf:mbox ?m } OPTIONAL { ?q foaf:mbox ?m ; foaf:age ?a } }"
+    assert people.sparql(two).count() == 4
+    gone = "SELECT ?p WHERE { ?p foaf:name ?n OPTIONAL { ?p foaf:mbox ?m } MINUS { ?q foaf:mbox ?m } }"
+    assert len(rows(people.sparql(gone))) == 3
+
+
+def test_schema_is_put_into_rules(spark):
+    schema = files.read_n3(spark, f"@prefix rdfs: <{terms.RDFS}> . <A> rdfs:subClassOf <B> . <B> rdfs:subClassOf <C> . <p> rdfs:domain <A> ; rdfs:subPropertyOf <q> .")[0].triples
+    facts = Graph(schema.union(spark.createDataFrame([("<x>", "<p>", "<y>"), ("<z>", "<r>", "<y>")], "s string, p string, o string")))
+    ground, more = fixpoint.specialise(facts, rulesets.rdfs())
+    assert all(a[1] in ("<p>", terms.TYPE) for r in ground for a in r.body) and ("<A>", f"<{terms.RDFS}subClassOf>", "<C>") in more
+    out = fixpoint.reason(facts, rulesets.rdfs())
+    expected = [("<A>", f"<{terms.RDFS}subClassOf>", "<C>"), ("<x>", "<q>", "<y>"), *[("<x>", terms.TYPE, c) for c in ("<A>", "<B>", "<C>")]]
+    assert rows(out.inferred) == sorted(expected)
+
+
+def test_goal_constants_reach_the_rules():
+    rules = rulesets.rules("{ ?x <next> ?y } => { ?x <reach> ?y } . { ?x <reach> ?y . ?y <next> ?z } => { ?x <reach> ?z } .")
+    pushed = fixpoint._pushed(rules, [("<a>", "<reach>", "?y")])
+    assert [r.head[0][0] for r in pushed] == ["<a>", "<a>"] and pushed[1].body[0][0] == "<a>"
+    other_way = fixpoint._pushed(rules, [("?x", "<reach>", "<b>")])
+    assert other_way == rules

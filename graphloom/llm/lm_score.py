@@ -23,7 +23,11 @@ from graphloom.llm.elias_fano import Trie
 from graphloom.llm.exchange import HASH, ID, TEXT, Codes
 
 #: Weight of the shorter order's distribution in tokens; orders of the model; compressed bytes of a block.
-PRIOR_TOKENS, ORDERS, BLOCK_BYTES = 50.0, 3, 1 << 20
+PRIOR_TOKENS, ORDERS, BLOCK_BYTES = 50.0, 3, 3 << 19
+#: Bytes of the codes of tokens, pairs and triples below the bucket's bits. Two pairs or triples of a bucket share a
+#: code, and then their counts are added, with a chance of 2 ** -40; a bucket holds about a million of them however large
+#: the input, so about one n-gram in a million is counted together with another.
+WIDTHS = (6, 5, 5)
 END = np.uint64(0x5851F42D4C957F2D)
 _PAIR, _TRIPLE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -69,11 +73,21 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], which
 
 
+def _counted(codes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, and how many of each have weight: both in one sort."""
+    if not len(codes):
+        return codes, np.empty(0, "<u4")
+    both = np.sort(codes << np.uint64(1) | weight.astype(np.uint64))
+    ordered = both >> np.uint64(1)
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    return ordered[begin], np.add.reduceat((both & np.uint64(1)).astype("<u4"), begin)
+
+
 class _Block:
     """The n-grams of a block's documents: by order the distinct codes, a place of each among the tokens, which each
-    token's is, and counts in training documents."""
+    token's is, and counts in training documents. Without ``places`` the codes and counts only."""
 
-    def __init__(self, rows: pa.Table, codes: Codes):
+    def __init__(self, rows: pa.Table, codes: list[Codes], places: bool = True):
         parts = list(exchange.text_pieces(rows, 1 << 20))
         found = [tokens(data, offsets) for _, data, offsets in parts]
         sizes = np.concatenate([np.diff(at) for _, at in found]) if found else np.empty(0, np.int64)
@@ -81,8 +95,13 @@ class _Block:
         hashes = np.concatenate([h for h, _ in found]) if found else np.empty(0, np.uint64)
         weight = np.repeat(~rows["held_out"].to_numpy(), sizes)
         self.codes, self.place, self.which, self.tokens, self.counts = [], [], [], [], []
-        for values, place in grams(hashes, self.at):
-            known, first, which = distinct(codes.of(values))
+        for how, (values, place) in zip(codes, grams(hashes, self.at), strict=True):
+            if not places and how.bits + int(how.low) < 64:
+                known, counts = _counted(how.of(values), weight[place])
+                self.codes.append(known)
+                self.counts.append(counts)
+                continue
+            known, first, which = distinct(how.of(values))
             self.codes.append(known)
             self.place.append(place[first])
             self.which.append(which.astype(np.int32))
@@ -98,40 +117,45 @@ def _split(rows: pa.Table) -> list[list[int]]:
     return rows["sizes"].to_pylist()
 
 
-def _send(block: int, own: _Block, codes: Codes) -> pa.Table:
+def _turned(blob: bytes, width: int) -> bytes:
+    """Bytes of one rank side by side: the high ones of sorted codes and of counts hardly change, and so compress."""
+    return np.frombuffer(blob, np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _send(block: int, own: _Block, codes: list[Codes]) -> pa.Table:
     by_bucket: dict[int, list] = {}
-    for order in range(ORDERS):
-        buckets, blobs, edges = codes.packed(own.codes[order])
+    for order, how in enumerate(codes):
+        buckets, blobs, edges = how.packed(own.codes[order])
         for bucket, blob, more in zip(buckets, blobs, exchange.cut_at(edges, own.counts[order]), strict=True):
             row = by_bucket.setdefault(bucket, [[0] * ORDERS, [b""] * ORDERS, [b""] * ORDERS])
-            # bytes of one rank side by side: the high ones of sorted codes hardly change
-            turned = np.frombuffer(blob, np.uint8).reshape(-1, codes.width).T.tobytes()
-            row[0][order], row[1][order], row[2][order] = len(blob) // codes.width, turned, more
+            row[0][order], row[1][order], row[2][order] = len(blob) // how.width, _turned(blob, how.width), _turned(more, 4)
     chosen = sorted(by_bucket)
     rows = [by_bucket[b] for b in chosen]
     return pa.table({"bucket": pa.array(chosen, pa.int32()), BLOCK: pa.array([block] * len(chosen), pa.int32()), "sizes": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "codes": pa.array([b"".join(r[1]) for r in rows], pa.binary()), "more": pa.array([b"".join(r[2]) for r in rows], pa.binary())})
 
 
-def _order(sizes: list[list[int]], blobs: list[bytes], order: int, width: int) -> list[bytes]:
-    """The part of each blob that belongs to an order."""
-    return [b[width * sum(n[:order]) : width * sum(n[: order + 1])] for n, b in zip(sizes, blobs, strict=True)]
+def _order(sizes: list[list[int]], blobs: list[bytes], order: int, widths: tuple[int, ...]) -> np.ndarray:
+    """The part of each blob that belongs to an order, one after another, turned back to rows of bytes."""
+    out, width = [], widths[order]
+    for n, b in zip(sizes, blobs, strict=True):
+        begin = sum(k * w for k, w in zip(n[:order], widths, strict=False))
+        out.append(np.frombuffer(b, np.uint8, n[order] * width, begin).reshape(width, -1).T)
+    return np.concatenate(out) if out else np.empty((0, width), np.uint8)
 
 
-def _sums(rows: pa.Table, codes: Codes, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _sums(rows: pa.Table, codes: list[Codes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of one order: how often each distinct code stands in training, which each sent code is, the counts sent, and
     how many each row has."""
     sizes = _split(rows)
-    blobs = _order(sizes, rows["codes"].to_pylist(), order, codes.width)
-    raw = [np.frombuffer(b, np.uint8).reshape(codes.width, -1).T for b in blobs]
-    wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
-    if len(wide):
-        wide[:, : codes.width] = np.concatenate(raw)
-    counts = np.frombuffer(b"".join(_order(sizes, rows["more"].to_pylist(), order, 4)), "<u4")
+    raw = _order(sizes, rows["codes"].to_pylist(), order, WIDTHS)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, : WIDTHS[order]] = raw
+    counts = np.ascontiguousarray(_order(sizes, rows["more"].to_pylist(), order, (4,) * ORDERS)).view("<u4").reshape(-1)
     known, _, which = distinct(wide.view("<u8").reshape(-1))
     return np.bincount(which, weights=counts, minlength=len(known)).astype("<u8"), which, counts, np.array([n[order] for n in sizes])
 
 
-def _answer(rows: pa.Table, codes: Codes) -> pa.Table:
+def _answer(rows: pa.Table, codes: list[Codes]) -> pa.Table:
     """To each block, in the order it sent its codes: a bit for each, set where the sum isn't what it sent, and these
     sums."""
     n = rows.num_rows
@@ -202,11 +226,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     without a training row N and V are 0.
     """
     blocks = block_count(docs, BLOCK_BYTES)
-    codes = Codes(blocks)
+    codes = [Codes(blocks, width) for width in WIDTHS]
     marked = exchange.keyed(docs.withColumn("held_out", held_out(id_col, folds, fold)), blocks, id_col, text_col)
 
     def send(rows: pa.Table) -> pa.Table:
-        return _send(rows[BLOCK][0].as_py(), _Block(rows, codes), codes)
+        return _send(rows[BLOCK][0].as_py(), _Block(rows, codes, False), codes)
 
     def totals(rows: pa.Table) -> pa.Table:
         sums = _sums(rows, codes, 0)[0]

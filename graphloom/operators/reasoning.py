@@ -30,7 +30,7 @@ def disjoint_classes(graph: Graph) -> DataFrame:
 def functional(graph: Graph, inverse: bool = False) -> DataFrame:
     """Subjects with several objects of a functional property; objects with several subjects of an inverse one."""
     kind, key, other = ("InverseFunctionalProperty", "o", "s") if inverse else ("FunctionalProperty", "s", "o")
-    t = graph.triples.join(F.broadcast(_typed(graph, kind)), F.col("p") == F.col("property"))
+    t = graph.triples.join(_typed(graph, kind), F.col("p") == F.col("property"))
     many = t.groupBy(key, "p").agg(F.count_distinct(other).alias("n")).where("n > 1")
     return many.select(F.lit(kind).alias("check"), F.col(key).alias("subject"), F.concat_ws(" ", "p", F.col("n").cast("string")).alias("detail"))
 
@@ -41,7 +41,7 @@ def domain_range(graph: Graph) -> DataFrame:
     out = []
     for name, place in (("domain", "s"), ("range", "o")):
         schema = graph.scan(p=f"<{RDFS}{name}>").select(F.col("s").alias("p"), F.col("o").alias("class"))
-        used = graph.triples.join(F.broadcast(schema), "p").select(F.col(place).alias("x"), "class", "p").distinct()
+        used = graph.triples.join(schema, "p").select(F.col(place).alias("x"), "class", "p").distinct()
         wrong = used.join(types.select("x").distinct(), "x", "left_semi").join(types, ["x", "class"], "left_anti")
         out.append(wrong.select(F.lit(name).alias("check"), F.col("x").alias("subject"), F.concat_ws(" ", "p", "class").alias("detail")))
     return union(out)
@@ -62,10 +62,10 @@ def nothing(graph: Graph) -> DataFrame:
 def characteristics(graph: Graph) -> DataFrame:
     """Asymmetric properties that hold both ways, irreflexive ones of a node with itself."""
     t = graph.triples
-    one = t.join(F.broadcast(_typed(graph, "AsymmetricProperty")), F.col("p") == F.col("property")).select("s", "p", "o")
+    one = t.join(_typed(graph, "AsymmetricProperty"), F.col("p") == F.col("property")).select("s", "p", "o")
     back = one.select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
     asymmetric = one.join(back, ["s", "p", "o"]).select(F.lit("asymmetric").alias("check"), F.col("s").alias("subject"), F.concat_ws(" ", "p", "o").alias("detail"))
-    loops = t.where("s = o").join(F.broadcast(_typed(graph, "IrreflexiveProperty")), F.col("p") == F.col("property"))
+    loops = t.where("s = o").join(_typed(graph, "IrreflexiveProperty"), F.col("p") == F.col("property"))
     return asymmetric.union(loops.select(F.lit("irreflexive").alias("check"), F.col("s").alias("subject"), F.col("p").alias("detail")))
 
 
@@ -196,6 +196,42 @@ def most_similar(vectors: DataFrame, query: list[float], k: int, id_col: str = "
     return vectors.select(id_col, cosine(F.col(vector_col), F.array(*[F.lit(float(x)) for x in query])).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+#: Vectors and query vectors that meet in one task.
+VECTOR_BLOCK, QUERY_BLOCK = 16384, 2048
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, similarity, place): of each query vector the k vectors of the highest cosine, ties by id.
+
+    Both sides are dealt to blocks of bounded size; each pair of blocks meets once, in numpy, and keeps k for each
+    query, so what is shuffled back is k rows for each query and block. Vectors of norm 0 or null have similarity 0.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    n_vectors, n_queries = vectors.count(), queries.count()
+    v_blocks, q_blocks = 1 + n_vectors // VECTOR_BLOCK, 1 + n_queries // QUERY_BLOCK
+    deal = lambda df, own, n, other, m: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    left, right = deal(vectors, "__v", v_blocks, "__q", q_blocks), deal(queries, "__q", q_blocks, "__v", v_blocks)
+
+    def unit(rows):
+        x = np.array(rows["vector"].to_pylist(), np.float64).reshape(rows.num_rows, -1)
+        norms = np.linalg.norm(x, axis=1, keepdims=True)
+        return x / np.where(norms > 0, norms, 1)
+
+    def meet(some, asked):
+        if not some.num_rows or not asked.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        some = some.sort_by("id")
+        ids, alike = some["id"].to_numpy(), np.round(unit(asked) @ unit(some).T, 9)
+        best = np.argsort(-alike, axis=1, kind="stable")[:, :k]
+        return pa.table({"query_id": pa.array(np.repeat(asked["id"].to_numpy(), best.shape[1])), "id": pa.array(ids[best].reshape(-1)), "similarity": pa.array(np.take_along_axis(alike, best, 1).reshape(-1))})
+
+    found = left.groupBy("__v", "__q").cogroup(right.groupBy("__v", "__q")).applyInArrow(meet, "query_id bigint, id bigint, similarity double")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return found.withColumn("place", place).where(F.col("place") <= k).withColumnRenamed("id", id_col)
+
+
 def transe_score(h: Column, r: Column, t: Column) -> Column:
     """The negative distance of head plus relation from the tail."""
     return -euclidean(F.zip_with(h, r, lambda x, y: x + y), t)

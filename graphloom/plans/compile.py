@@ -426,16 +426,17 @@ class Compiler:
 
     def describe(self, q: Query) -> DataFrame:
         """Triples with a resource as subject; in a dataset as subject or object, over all graphs."""
-        data = self.dataset.quads if self.dataset else self.graph.triples
+        data = self.dataset.quads if self.dataset else None
         names = [r for r in q.resources if not r.startswith("?")]
         places = ("s", "o") if self.dataset else ("s",)
         found = []
         if names:
-            found.append(data.where(reduce(lambda a, b: a | b, [F.col(c).isin(names) for c in places])))
+            found += [data.where(reduce(lambda a, b: a | b, [F.col(c).isin(names) for c in places]))] if self.dataset else [self.graph.scan(s=n) for n in names]
         asked = [r[1:] for r in q.resources if r.startswith("?")]
         if asked:
             s = self.group(q.where, self.graph)
             nodes = union([s.frame.select(F.col(f"`{v}`").alias("__node")) for v in asked if v in s.variables]).distinct()
+            data = data if data is not None else self.graph.triples
             found += [data.join(nodes, F.col(c) == F.col("__node"), "left_semi") for c in places]
         return union([f.select("s", "p", "o") for f in found]).distinct()
 

@@ -21,7 +21,7 @@ from graphloom.llm.common import append_columns, pieces
 
 #: Phrases that count wherever their words stand consecutively, with their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Short notices of common licenses, with their labels.
+#: Notices and first paragraphs of common licenses, in words, with their labels.
 TEMPLATES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
@@ -35,6 +35,17 @@ TEMPLATES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
     "this work is dedicated to the public domain": "public-domain",
     "copyright all rights reserved": "reserved",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation "
+    "the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc",
+    "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0": "apache-2.0",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-3-clause",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license": "agpl",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software": "bsl-1.0",
 }
 #: Share of a template's words that a block must have.
 CONTAINMENT = 0.9
@@ -47,10 +58,11 @@ def _hash(word: str) -> int:
 
 @dataclasses.dataclass(frozen=True)
 class Plan:
-    """Templates over numbered words: word hashes (sorted), each template's words as numbers in order of rarity, its
-    label, its length in words, and base phrases as hash sequences with their labels."""
+    """Templates over numbered words: word hashes (sorted), each word's place in the order of rarity, each template's
+    words as numbers in that order, its label, its length in words, and base phrases as hash sequences with labels."""
 
     hashes: np.ndarray
+    order: np.ndarray
     templates: list[tuple[np.ndarray, str]]
     needed: list[int]
     lengths: list[int]
@@ -92,8 +104,11 @@ def plan(docs: DataFrame, templates: dict[str, str], containment: float, text_co
         needed.append(least)
         for position, w in enumerate(ordered[: len(ordered) - least + 1]):
             prefixes.setdefault(number[w], []).append((i, position))
+    order = np.zeros(len(hashes), np.int64)
+    for place, w in enumerate(sorted(vocabulary, key=rarity.__getitem__)):
+        order[number[w]] = place
     phrases = [(np.array([vocabulary[w] for w in text.split()], np.uint64), label) for text, label in BASE_PHRASES.items()]
-    return Plan(hashes, made, needed, [len(t.split()) for t in templates], prefixes, phrases)
+    return Plan(hashes, order, made, needed, [len(t.split()) for t in templates], prefixes, phrases)
 
 
 def scan_piece(data: np.ndarray, offsets: np.ndarray, rules: Plan, wrapped: bool = False) -> dict[str, list]:
@@ -140,14 +155,17 @@ def scan_piece(data: np.ndarray, offsets: np.ndarray, rules: Plan, wrapped: bool
     ends_ = np.append(edges[1:], len(inside))
     owner = np.repeat(np.arange(len(edges)), ends_ - edges)
     for b in np.unique(owner[starts_prefix]).tolist():
-        words = set(number[edges[b] : ends_[b]].tolist())
+        ordered = np.unique(number[edges[b] : ends_[b]])
+        ordered = ordered[np.argsort(rules.order[ordered])].tolist()  # rarest first, as templates are
+        words = set(ordered)
         d = int(doc[inside[edges[b]]])
         tried = set()
-        for w in words:
+        for place, w in enumerate(ordered):
             for i, position in rules.prefixes.get(w, ()):
                 template, label = rules.templates[i]
-                # length: the block has words enough; position: with this word so many are left to meet
-                if i in tried or len(words) < rules.needed[i] or len(template) - position < rules.needed[i]:
+                # length: the block has words enough; position: if this is the first word both have, so many at most are
+                # left to meet on either side (if it isn't, the pair has been tried at the first one)
+                if i in tried or len(words) < rules.needed[i] or min(len(template) - position, len(ordered) - place) < rules.needed[i]:
                     continue
                 tried.add(i)
                 share = len(words.intersection(template.tolist()))

@@ -47,16 +47,22 @@ def _squash(x: np.ndarray, work: np.ndarray) -> None:
     x /= work
 
 
+def _slope(x: np.ndarray) -> np.ndarray:
+    """The derivative of that rational form at x: ((9 - x^2) / (3 (3 + x^2)))^2, 0 beyond 3."""
+    square = np.minimum(x * x, 9)
+    return ((9 - square) / (3 * (3 + square))) ** 2
+
+
 class Network:
     """Weights of both directions: from bytes (2, 256, 3h), recurrent (2, h, 3h), to languages (2h, k), bias (k)."""
 
-    def __init__(self, languages: list[str], hidden: int, seed: int):
+    def __init__(self, languages: list[str], hidden: int, seed: int, kind: type = np.float32):
         rng = np.random.default_rng(seed)
         k = len(languages)
-        self.languages, self.hidden = languages, hidden
+        self.languages, self.hidden, self.kind = languages, hidden, kind
         self.weights = [
-            rng.normal(0, 0.3, (2, 256, 3 * hidden)).astype(np.float32), rng.normal(0, 1 / np.sqrt(hidden), (2, hidden, 3 * hidden)).astype(np.float32),
-            rng.normal(0, 0.3, (2 * hidden, k)).astype(np.float32), np.zeros(k, np.float32),
+            rng.normal(0, 0.3, (2, 256, 3 * hidden)).astype(kind), rng.normal(0, 1 / np.sqrt(hidden), (2, hidden, 3 * hidden)).astype(kind),
+            rng.normal(0, 0.3, (2 * hidden, k)).astype(kind), np.zeros(k, kind),
         ]
 
     def states(self, codes: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -66,14 +72,14 @@ class Network:
         """
         n, steps = codes.shape
         h = self.hidden
-        out = np.empty((steps, n, 2 * h), np.float32)
+        out = np.empty((steps, n, 2 * h), self.kind)
         places = np.ascontiguousarray(codes.T.astype(np.intp))
-        work = np.empty((2, n, h), np.float32)
+        work = np.empty((2, n, h), self.kind)
         for d in range(2):
             tables = [np.ascontiguousarray(self.weights[0][d][:, i * h : (i + 1) * h]) for i in range(3)]
             own = [np.ascontiguousarray(self.weights[1][d][:, i * h : (i + 1) * h]) for i in range(3)]
-            state = np.zeros((n, h), np.float32)
-            given, made = np.empty((3, n, h), np.float32), np.empty((3, n, h), np.float32)
+            state = np.zeros((n, h), self.kind)
+            given, made = np.empty((3, n, h), self.kind), np.empty((3, n, h), self.kind)
             for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
                 if keep is not None:
                     given, made = np.empty_like(given), np.empty_like(made)
@@ -83,15 +89,17 @@ class Network:
                 gates = given[:2]
                 gates += made[:2]
                 gates *= 0.5
+                slopes = None if keep is None else _slope(gates) / 4
                 _squash(gates, work)
                 gates += 1
                 gates *= 0.5
                 new = given[2]
                 np.multiply(gates[1], made[2], out=work[0])
                 new += work[0]
+                slope = None if keep is None else _slope(new)
                 _squash(new, work[1])
                 if keep is not None:
-                    keep.append((d, t, state, gates[0], gates[1], new, made[2]))
+                    keep.append((d, t, state, gates[0], gates[1], new, made[2], slopes, slope))
                 state = new + gates[0] * (state - new)
                 out[t, :, d * h : (d + 1) * h] = state
         return out
@@ -111,7 +119,7 @@ class Network:
         saved: list = []
         states = self.states(codes, saved)
         probabilities = np.ascontiguousarray(self.positions(states).transpose(1, 2, 0))
-        mask = valid.T.astype(np.float32)
+        mask = valid.T.astype(self.kind)
         total = max(1.0, float(mask.sum()))
         rows = np.arange(len(labels))
         loss = float(-(np.log(probabilities[:, rows, labels] + 1e-9) * mask).sum() / total)
@@ -122,12 +130,12 @@ class Network:
         to_out = states.reshape(-1, 2 * h).T @ wrong.reshape(-1, k)
         back = wrong @ self.weights[2].T
         from_bytes, recurrent = np.zeros_like(self.weights[0]), np.zeros_like(self.weights[1])
-        carried = [np.zeros((len(labels), h), np.float32) for _ in range(2)]
-        for d, t, state, update, reset, new, own in reversed(saved):
+        carried = [np.zeros((len(labels), h), self.kind) for _ in range(2)]
+        for d, t, state, update, reset, new, own, slopes, slope in reversed(saved):
             error = back[t, :, d * h : (d + 1) * h] + carried[d]
-            e_new = error * (1 - update) * (1 - new * new)
-            e_update = error * (state - new) * update * (1 - update)
-            e_reset = e_new * own * reset * (1 - reset)
+            e_new = error * (1 - update) * slope
+            e_update = error * (state - new) * slopes[0]
+            e_reset = e_new * own * slopes[1]
             e_own = np.concatenate([e_update, e_reset, e_new * reset], axis=1)
             recurrent[d] += state.T @ e_own
             carried[d] = error * update + e_own @ self.weights[1][d].T
@@ -155,7 +163,7 @@ class Network:
                     g = g * min(1.0, 1.0 / (size + 1e-9))
                     mean[i] += 0.1 * (g - mean[i])
                     square[i] += 0.01 * (g * g - square[i])
-                    self.weights[i] -= (rate * (mean[i] / (1 - 0.9 ** len(losses))) / (np.sqrt(square[i] / (1 - 0.99 ** len(losses))) + 1e-7)).astype(np.float32)
+                    self.weights[i] -= (rate * (mean[i] / (1 - 0.9 ** len(losses))) / (np.sqrt(square[i] / (1 - 0.99 ** len(losses))) + 1e-7)).astype(self.kind)
         return losses
 
     def pooled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -233,6 +241,7 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score: the language of the highest pooled probability, and that probability.
 
+    Of languages with the same probability the first by name is taken.
     A null text and one without a letter is ``und`` with score 0, and so is every text if there is no network. Whole
     texts are read, in windows; no shuffle. Columns with the result's names are replaced, all others and repeated rows
     pass through. An empty table gives an empty one.

@@ -56,7 +56,7 @@ def _given(a: Val) -> str:
 def _array(x) -> Column:
     """A list given as values, or an array, as an array of terms."""
     if isinstance(x, list):
-        return F.array(*[v.term if isinstance(v, Val) else v for v in x]) if x else F.array().cast("array<string>")
+        return F.array(*[v.term if isinstance(v, Val) else list_text(_array(v)) if isinstance(v, list) else v for v in x]) if x else F.array().cast("array<string>")
     return list_items(x.term) if isinstance(x, Val) else x
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -268,3 +269,69 @@ def link_entities(texts: DataFrame, labels: DataFrame) -> DataFrame:
     first = labels.select("entity", F.lower("label").alias("label"), F.split_part(F.lower("label"), F.lit(" "), F.lit(1)).alias("word"))
     near = words.join(first, "word").join(texts.select("id", F.lower("text").alias("lower")), "id")
     return near.where(F.contains(F.col("lower"), F.col("label"))).select("id", "entity").distinct()
+
+
+# uncertain and fuzzy triples, intervals, types
+def probable(facts: DataFrame, rules: list, confidence: float = 1.0, method: str = "product", least: float = 0.01, max_steps: int = 50) -> DataFrame:
+    """(s, p, o, prob): the facts and what rules conclude from them. A conclusion's probability is that of its premises,
+    combined by ``method``, times the rules' confidence; what falls short of ``least`` is left out, a triple that is
+    known keeps its probability, and of several ways found in one step the likeliest counts."""
+    from graphloom.operators.lineage import cut
+    from graphloom.plans.rules import is_data
+
+    known = cut(facts.select("s", "p", "o", F.col("prob").cast("double").alias("prob")))
+    for _ in range(max_steps):
+        made = []
+        for r in rules:
+            atoms, out, names = [a for a in r.body if is_data(a)], None, []
+            for i, a in enumerate(atoms):
+                part, columns = known, {}
+                for place, t in zip("spo", a, strict=True):
+                    if t.startswith("?") and t[1:] in columns:
+                        part = part.where(columns[t[1:]] == F.col(place))
+                    elif t.startswith("?"):
+                        columns[t[1:]] = F.col(place)
+                    else:
+                        part = part.where(F.col(place) == t)
+                part = part.select(*[c.alias(v) for v, c in columns.items()], F.col("prob").alias(f"__p{i}"))
+                shared = [v for v in columns if v in names]
+                out = part if out is None else out.join(part, shared) if shared else out.crossJoin(part)
+                names += [v for v in columns if v not in names]
+            chance = COMBINE[method]([F.col(f"__p{i}") for i in range(len(atoms))]) * confidence
+            place = lambda t: F.col(t[1:]) if t.startswith("?") else F.lit(t)
+            made += [out.select(*[place(t).alias(c) for c, t in zip("spo", h, strict=True)], chance.alias("prob")).where(F.col("prob") >= least) for h in r.head]
+        new = cut(union(made).groupBy("s", "p", "o").agg(F.max("prob").alias("prob")).join(known, ["s", "p", "o"], "left_anti"))
+        if new.isEmpty():
+            break
+        known = cut(known.unionByName(new))
+    return known
+
+
+def certain(facts: DataFrame, least: float) -> Graph:
+    """The triples of at least this probability, as plain ones."""
+    return Graph(facts.where(F.col("prob") >= least).select("s", "p", "o").distinct())
+
+
+def fuzzy_types(graph: Graph, predicate: str, sets: dict[str, Callable[[Column], Column]], least: float = 0.0) -> DataFrame:
+    """(s, p, o, degree): how far each subject is in each fuzzy set (class: membership of the predicate's number)."""
+    found = graph.scan(p=predicate).select("s", terms.number(F.col("o")).alias("x")).where("x is not null")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("o"), f(F.col("x")).cast("double").alias("degree")) for c, f in sets.items()])).alias("t")
+    return found.select("s", F.lit(terms.TYPE).alias("p"), each).select("s", "p", "t.o", "t.degree").where(F.col("degree") > least)
+
+
+def intervals(graph: Graph, beginning: str, end: str, instant: str) -> DataFrame:
+    """(id, start, end): subjects whose beginning and end are instants with a date and time."""
+    when = graph.scan(p=instant).select(F.col("s").alias("__i"), F.try_to_timestamp(terms.value(F.col("o"))).alias("__t"))
+    side = lambda p, name: graph.scan(p=p).select(F.col("s").alias("id"), F.col("o").alias("__i")).join(when, "__i").select("id", F.col("__t").alias(name))
+    return side(beginning, "start").join(side(end, "end"), "id").where("start is not null and end is not null")
+
+
+def entity_types(graph: Graph, least: float = 0.0) -> DataFrame:
+    """(s, class, confidence): types of each subject, those it has with confidence 1, others by the share of subjects
+    with the same predicate that have them."""
+    types = graph.scan(p=terms.TYPE).select("s", F.col("o").alias("class")).distinct()
+    uses = graph.triples.where(F.col("p") != terms.TYPE).select("s", "p").distinct()
+    size = uses.groupBy("p").agg(F.count("*").alias("n"))
+    share = uses.join(types, "s").groupBy("p", "class").agg(F.count("*").alias("m")).join(size, "p").select("p", "class", (F.col("m") / F.col("n")).alias("confidence"))
+    likely = uses.join(share, "p").groupBy("s", "class").agg(F.max("confidence").alias("confidence"))
+    return likely.unionByName(types.withColumn("confidence", F.lit(1.0))).groupBy("s", "class").agg(F.max("confidence").alias("confidence")).where(F.col("confidence") > least)

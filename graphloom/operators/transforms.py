@@ -153,6 +153,26 @@ def schema_rules(graph: Graph):
     return out
 
 
+def migrate(t: DataFrame, renamed: dict[str, str], removed: tuple[str, ...] = ()) -> DataFrame:
+    """The triples after a migration: classes and properties under new names, others gone with what they are used in."""
+    gone = F.col("p").isin(*removed) | F.col("o").isin(*removed) | F.col("s").isin(*removed) if removed else F.lit(False)
+    names = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair]) if renamed else None
+    new = lambda c: F.coalesce(names[F.col(c)], F.col(c)).alias(c) if renamed else F.col(c)
+    return t.where(~gone).select(*map(new, SPO)).distinct()
+
+
+def near_partitions(t: DataFrame, partitions: int, rounds: int = 3) -> DataFrame:
+    """(node, part): nodes dealt so that neighbours tend to lie together: each takes the part most of its neighbours
+    have, in a few rounds from a hash, ties to the smallest part. Counts by part, not lists, so hubs don't gather."""
+    edges = t.where(F.col("o").startswith("<")).select("s", "o")
+    both = cut(edges.union(edges.select(F.col("o").alias("s"), F.col("s").alias("o"))).distinct())
+    parts = cut(both.select(F.col("s").alias("node")).distinct().withColumn("part", F.pmod(F.xxhash64("node"), F.lit(partitions)).cast("int")))
+    for _ in range(rounds):
+        votes = both.join(parts.withColumnRenamed("node", "o"), "o").groupBy(F.col("s").alias("node"), "part").agg(F.count("*").alias("n"))
+        parts = cut(votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("part")).alias("m"))).alias("b")).select("node", (-F.col("b.m")).alias("part")))
+    return parts
+
+
 @dataclasses.dataclass(frozen=True, order=True)
 class Version:
     major: int

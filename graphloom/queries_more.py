@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
+import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +18,8 @@ from graphloom.operators import fixpoint, language, learning, reasoning, ruleset
 from graphloom.operators.lineage import shared_folder
 from graphloom.plans.expressions import Val, constant
 from graphloom.queries import PREFIXES, _chain, _CLOSURE, _regions, _schema, _tpch, _values, graph, query, sparql, table
-from graphloom.sources import files
+from graphloom.server import make_server
+from graphloom.sources import files, remote, sqlite
 from graphloom.sources.graphs import Dataset, Graph, union
 
 RDF_TYPE = terms.TYPE[1:-1]
@@ -946,3 +951,141 @@ def bayes_sampling(spark, sf_dir):
     net = learning.BayesNetwork({"m": ((), {(): share.m}), "d": (("m",), {(True,): share.y, (False,): share.n})})
     return spark.createDataFrame([(abs(net.sample(spark, "d", {"m": True}, 20_000) - share.y) < 0.02,)], "near boolean")
 
+
+
+# stores elsewhere ----------------------------------------------------------------------------------------------------
+@contextlib.contextmanager
+def _endpoint(g: Graph) -> Iterator[str]:
+    """An endpoint on this machine that serves a graph, for as long as it is asked."""
+    server = make_server(Engine(g, PREFIXES), 0, 10_000.0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        yield f"http://127.0.0.1:{server.server_address[1]}/sparql"
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+@query("service_http", "select n_name as n, r_name as r from nation join region on n_regionkey = r_regionkey")
+def service_http(spark, sf_dir):
+    """A join with what an endpoint holds, asked over HTTP."""
+    with _endpoint(graph(spark, sf_dir)) as url:
+        engine = Engine(graph(spark, sf_dir), PREFIXES, service=remote.service(spark))
+        return engine.native(f"SELECT ?n ?r WHERE {{ ?y t:n_name ?n ; t:n_regionkey ?x SERVICE <{url}> {{ ?x t:r_name ?r }} }}", {})
+
+
+@query("federated", "select n_name as n, 2::bigint as k from nation")
+def federated(spark, sf_dir):
+    """One query to two endpoints and to one that doesn't answer."""
+    with _endpoint(graph(spark, sf_dir)) as one, _endpoint(graph(spark, sf_dir)) as two:
+        found = remote.federated(spark, [one, two, "http://127.0.0.1:9/none"], "SELECT ?n WHERE { ?x <t:n_name> ?n }", silent=True)
+        return found.groupBy(terms.value(F.col("n")).alias("n")).agg(F.count_distinct("endpoint").alias("k"))
+
+
+@query("remote_scan", "select 't:nation/' || n_nationkey as s, 't:region/' || n_regionkey as o from nation")
+def remote_scan(spark, sf_dir):
+    with _endpoint(graph(spark, sf_dir)) as url:
+        return _values(remote.RemoteGraph(spark, url).scan(p="<t:n_regionkey>"), "s", "o")
+
+
+@query("remote_count", "select 2 * count(*) as n from nation")
+def remote_count(spark, sf_dir):
+    with _endpoint(Graph(_nations(spark, sf_dir))) as url:
+        return spark.createDataFrame([(remote.RemoteGraph(spark, url).count(),)], "n bigint")
+
+
+@query("remote_upload", "select 't:nation/' || n_nationkey as s, n_name as o from nation")
+def remote_upload(spark, sf_dir):
+    with _endpoint(Graph.of(spark, [("<x>", "<y>", "<z>")])) as url:
+        store = remote.RemoteGraph(spark, url)
+        store.upload(_edges(spark, sf_dir, "n_name"), 100)
+        return _values(store.scan(p="<t:n_name>"), "s", "o")
+
+
+@contextlib.contextmanager
+def _database() -> Iterator[str]:
+    """A path for a database file: SQLite keeps it on the driver's own disk."""
+    with tempfile.TemporaryDirectory() as folder:
+        yield os.path.join(folder, "graph.db")
+
+
+@query("sqlite_store", _NATIONS)
+def sqlite_store(spark, sf_dir):
+    with _database() as path:
+        sqlite.write(_nations(spark, sf_dir), path, 10)
+        return _values(sqlite.SqliteGraph(spark, path).triples, "s", "p", "o")
+
+
+@query("sqlite_scan", "select 't:nation/' || n_nationkey as s from nation where n_regionkey = 2")
+def sqlite_scan(spark, sf_dir):
+    with _database() as path:
+        sqlite.write(_nations(spark, sf_dir), path)
+        return _values(sqlite.SqliteGraph(spark, path).scan(p="<t:n_regionkey>", o="<t:region/2>"), "s")
+
+
+@query("db_builtins", "select 'tables' as name, 'triples' as x union all select 'columns', 'id' union all select 'columns', 'value' union all select 'query', '(\"' || 2 * count(*) || '\")' from nation")
+def db_builtins(spark, sf_dir):
+    """Built-ins over a database file that holds the nations' triples, called from rules."""
+    bodies = {
+        "tables": "'{path}' db:connect ?h . ?h db:tables ?l . ?x list:in ?l . ?x string:startsWith 'tr' . ?h db:close true", "columns": "('{path}' 'terms') db:columns ?l . ?x list:in ?l",
+        "query": "('{path}' 'select cast(count(*) as text) from triples') db:query ?l . ?x list:in ?l",
+    }
+    with _database() as path:
+        sqlite.write(_nations(spark, sf_dir), path)
+        rules = rulesets.rules(" ".join(f"{{ {b.format(path=path)} }} => {{ <{n}> <is> ?x }} ." for n, b in bodies.items()), {k: NS[k] for k in ("db", "list", "string")})
+        return _values(fixpoint.reason(Graph.of(spark, [("<a>", "<b>", "<c>")]), rules).inferred.select(F.col("s").alias("name"), F.col("o").alias("x")), "name", "x")
+
+
+# uncertain triples, intervals, migrations ----------------------------------------------------------------------------
+@query("probable", "select 't:customer/' || c_custkey as s, 'at' as p, 't:region/' || n_regionkey as o, round(least(1.0, (c_acctbal + 1000) / 11000) * 0.9 * 0.8, 9) as prob from customer join nation on n_nationkey = c_nationkey where least(1.0, (c_acctbal + 1000) / 11000) * 0.9 * 0.8 >= 0.01")
+def probable(spark, sf_dir):
+    """Where customers are: their nation by a chance their balance gives, its region by another, and a rule of 0.8."""
+    c = table(spark, sf_dir, "customer")
+    own = c.select(F.concat(F.lit("<t:customer/"), F.col("c_custkey").cast("string"), F.lit(">")).alias("s"), F.lit("<in>").alias("p"), F.concat(F.lit("<t:nation/"), F.col("c_nationkey").cast("string"), F.lit(">")).alias("o"), F.least(F.lit(1.0), (F.col("c_acctbal") + 1000) / 11000).alias("prob"))
+    facts = own.unionByName(_as(_edges(spark, sf_dir, "n_regionkey"), "<of>").withColumn("prob", F.lit(0.9)))
+    made = reasoning.probable(facts, rulesets.rules("{ ?c <in> ?n . ?n <of> ?r } => { ?c <at> ?r } ."), 0.8)
+    return made.where("p = '<at>'").select(*[terms.value(F.col(x)).alias(x) for x in "spo"], F.round("prob", 9).alias("prob"))
+
+
+@query("certain", "select p_partkey as k from part where p_size / 50.0 >= 0.5")
+def certain(spark, sf_dir):
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("s"), F.lit("<p>").alias("p"), F.lit("<o>").alias("o"), (F.col("p_size") / 50.0).alias("prob"))
+    return reasoning.certain(t, 0.5).triples.select(F.col("s").cast("bigint").alias("k"))
+
+
+@query("fuzzy_types", "select 't:part/' || p_partkey as s, 'small' as o, round((20 - p_size) / 20.0::double, 9) as degree from part where p_size < 20 union all select 't:part/' || p_partkey, 'large', round(least(1.0, (p_size - 10) / 30.0::double), 9) from part where p_size > 10")
+def fuzzy_types(spark, sf_dir):
+    line = reasoning.MEMBERSHIP["linear"]
+    sets = {"<small>": lambda x: line(20 - x, 0.0, 20.0), "<large>": lambda x: line(x, 10.0, 40.0)}
+    found = reasoning.fuzzy_types(Graph(_edges(spark, sf_dir, "p_size")), "<t:p_size>", sets)
+    return found.select(terms.value(F.col("s")).alias("s"), terms.value(F.col("o")).alias("o"), F.round("degree", 9).alias("degree"))
+
+
+@query("extract_intervals", "select 'u:' || user_id as id, epoch(date_trunc('second', min(ts)))::double as a, epoch(date_trunc('second', max(ts)))::double as b from events group by user_id")
+def extract_intervals(spark, sf_dir):
+    """Each user's time between first and last event, said by instants."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    user = F.concat(F.lit("<u:"), F.col("user_id").cast("string"), F.lit(">"))
+    node = lambda c: F.concat(F.lit("<i:"), F.col("user_id").cast("string"), F.lit(f"/{c}>"))
+    stamp = lambda c: terms.typed(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), f"{terms.XSD}dateTime")
+    rows = F.array(*[F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o")) for s, p, o in [(user, "<begins>", node("a")), (user, "<ends>", node("b")), (node("a"), "<at>", stamp("a")), (node("b"), "<at>", stamp("b"))]])
+    facts = e.select(F.explode(rows).alias("t")).select("t.s", "t.p", "t.o")
+    found = reasoning.intervals(Graph(facts), "<begins>", "<ends>", "<at>")
+    return found.select(terms.value(F.col("id")).alias("id"), F.col("start").cast("double").alias("a"), F.col("end").cast("double").alias("b"))
+
+
+@query("entity_types", "select 't:customer/' || c_custkey as s, 't:' || k as class, round(case when k = c_mktsegment or (k = 'DEBTOR' and c_acctbal < 0) then 1.0 else n / (select count(*) from customer)::double end, 9) as confidence from customer, (select c_mktsegment as k, count(*) as n from customer group by 1 union all select 'DEBTOR', count(*) from customer where c_acctbal < 0)")
+def entity_types(spark, sf_dir):
+    found = reasoning.entity_types(Graph(_segments(spark, sf_dir).union(_lives(spark, sf_dir))))
+    return found.select(terms.value(F.col("s")).alias("s"), terms.value(F.col("class")).alias("class"), F.round("confidence", 9).alias("confidence"))
+
+
+@query("migrate", "select 't:customer/' || c_custkey as s, 't:home' as p, 't:nation/' || c_nationkey as o from customer")
+def migrate(spark, sf_dir):
+    return _values(transforms.migrate(_edges(spark, sf_dir, "c_nationkey", "c_name"), {"<t:c_nationkey>": "<t:home>"}, ("<t:c_name>",)), "s", "p", "o")
+
+
+@query("near_partitions", "select count(distinct n) as nodes, true as within from (select 'c' || c_custkey as n from customer union all select 'n' || c_nationkey from customer)")
+def near_partitions(spark, sf_dir):
+    parts = transforms.near_partitions(_lives(spark, sf_dir), 4)
+    return parts.agg(F.count_distinct("node").alias("nodes"), F.bool_and(F.col("part").between(0, 3)).alias("within"))

@@ -26,6 +26,7 @@ def answer(engine: Engine, text: str, accept: str = "") -> tuple[str, str]:
 def make_server(engine: Engine, port: int = 8000, rate: float = 100.0) -> ThreadingHTTPServer:
     cache, limiter = QueryCache(), RateLimiter(rate, int(rate))
     texts: dict[tuple[str, str], tuple[str, str]] = {}
+    held = {"engine": engine}
 
     class Handler(BaseHTTPRequestHandler):
         def _send(self, status: int, body: str, kind: str = "application/json") -> None:
@@ -47,11 +48,22 @@ def make_server(engine: Engine, port: int = 8000, rate: float = 100.0) -> Thread
                     cache.hits += 1
                 else:
                     cache.misses += 1
-                    texts[key] = answer(engine, text, key[1])
+                    texts[key] = answer(held["engine"], text, key[1])
                 return self._send(200, *texts[key])
             except ValueError as e:
                 return self._send(400, json.dumps({"error": str(e)}))
 
+        def _update(self, text: str) -> None:
+            """The endpoint's data from now on; answers kept so far are void."""
+            if not limiter.allow():
+                return self._send(429, json.dumps({"error": "too many requests"}))
+            try:
+                held["engine"] = held["engine"].update(text)
+                texts.clear()
+                return self._send(200, json.dumps({"status": "updated"}))
+            except ValueError as e:
+                return self._send(400, json.dumps({"error": str(e)}))
+
         def do_GET(self) -> None:  # noqa: N802
             url = urlsplit(self.path)
             if url.path == "/sparql":
@@ -59,7 +71,8 @@ def make_server(engine: Engine, port: int = 8000, rate: float = 100.0) -> Thread
             elif url.path in ("/", "/health"):
                 self._send(200, json.dumps({"status": "ok"}))
             elif url.path == "/stats":
-                data = engine.data.default() if isinstance(engine.data, Dataset) else engine.data
+                data = held["engine"].data
+                data = data.default() if isinstance(data, Dataset) else data
                 self._send(200, json.dumps(statistics(Graph(data.triples)).first().asDict()))
             elif url.path == "/cache/stats":
                 self._send(200, json.dumps({"hits": cache.hits, "misses": cache.misses, "entries": len(texts)}))
@@ -71,9 +84,13 @@ def make_server(engine: Engine, port: int = 8000, rate: float = 100.0) -> Thread
             if self.path == "/cache/clear":
                 texts.clear()
                 return self._send(200, json.dumps({"status": "cleared"}))
-            if self.headers.get("Content-Type", "").startswith("application/x-www-form-urlencoded"):
-                body = parse_qs(body).get("query", [""])[0]
-            return self._query(body)
+            kind = self.headers.get("Content-Type", "")
+            if kind.startswith("application/x-www-form-urlencoded"):
+                fields = parse_qs(body)
+                if "update" in fields:
+                    return self._update(fields["update"][0])
+                body = fields.get("query", [""])[0]
+            return self._update(body) if kind.startswith("application/sparql-update") else self._query(body)
 
         def log_message(self, *args) -> None:
             pass

@@ -57,6 +57,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, either way.
+ARROW_BYTES = "8m"
+_ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "67108864b", "spark.sql.execution.arrow.maxBytesPerOutputBatch": "-1b"}
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, where it has Spark's defaults: batches lie outside the heap, on both sides."""
+    for key, default in _ARROW.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ARROW_BYTES)
+
+
 def bytes_of(df: DataFrame) -> int:
     """Catalyst's estimate of df's size; for a Parquet scan the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -64,6 +76,7 @@ def bytes_of(df: DataFrame) -> int:
 
 def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks to deal df's rows to: as many as its size asks for, and no fewer than shuffle partitions."""
+    bounded(df.sparkSession)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(1 << 24, math.ceil(bytes_of(df) / block_bytes)))
 
@@ -128,6 +141,7 @@ def append_columns(
     ``make`` runs once in each task and returns the function that takes a string array (nulls kept) to a dict with
     one array for each of ``fields``; ``done()`` ends a task. No shuffle; a column of the same name is replaced.
     """
+    bounded(df.sparkSession)
     schema = extended(df.schema, fields)
     kept = [f.name for f in schema.fields[: len(schema) - len(fields)]]
 

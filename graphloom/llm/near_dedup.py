@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import arrays
-from graphloom.llm.common import bytes_of, pieces, released, written
+from graphloom.llm.common import bounded, bytes_of, pieces, released, written
 from graphloom.llm.components import components
 
 #: Bytes of a table that is broadcast, at most.
 BROADCAST_BYTES = 4 << 20
 #: Counters that order shingles by frequency in the exact join; members of a posting that are joined in one cell.
 SLOTS, CELL = 1 << 22, 1024
+#: Rows a task sends at once.
+BATCH_ROWS = 1 << 16
 #: Documents, or distinct shingles, whose counts a task adds up before it sends the frequent ones.
 FLUSH_DOCUMENTS, FLUSH_SHINGLES = 8192, 1 << 21
 #: Rows of slim tables that a task takes, about: such a table has no more tasks and files than that asks for.
@@ -142,7 +144,10 @@ def frequencies(texts: DataFrame, settings: Sampling) -> tuple[Frequent, int]:
         value, which = np.unique(np.concatenate(values), return_inverse=True)
         n = np.bincount(which, weights=np.concatenate(counts), minlength=len(value)).astype(np.int64)
         some = n >= quarter * documents
-        yield pa.RecordBatch.from_pydict({"hash": value[some].view(np.int64), "n": n[some], "rows": np.zeros(int(some.sum()), np.int64)})
+        value, n = value[some].view(np.int64), n[some]
+        for a in range(0, len(value), BATCH_ROWS):
+            part = slice(a, a + BATCH_ROWS)
+            yield pa.RecordBatch.from_pydict({"hash": value[part], "n": n[part], "rows": np.zeros(len(n[part]), np.int64)})
         yield pa.RecordBatch.from_pydict({"hash": pa.array([0], pa.int64()), "n": pa.array([0], pa.int64()), "rows": pa.array([documents], pa.int64())})
 
     def send(batches):
@@ -389,6 +394,7 @@ def classes(docs: DataFrame, settings: Sampling | None = None, id_col: str = "do
     read.
     """
     settings = settings or Sampling()
+    bounded(docs.sparkSession)
     md5 = F.md5(F.col(text_col).cast("binary"))
     number = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID).bitwiseOR(F.xxhash64(text_col).bitwiseAND(F.lit(NO_ID - 1))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), number.alias("id"), md5.alias("m"))

@@ -23,7 +23,7 @@ from graphloom.llm.pretokens import split
 
 #: Distinct pre-tokens whose ids a task keeps between pieces, and pairs of tokens whose rank it keeps, at most; with
 #: the task they go.
-CACHE_WORDS, CACHE_PAIRS = 100_000, 200_000
+CACHE_WORDS, CACHE_PAIRS = 250_000, 400_000
 
 
 class ByteBpe:
@@ -216,4 +216,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", k
         return run
 
     fields = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")] + [("ids", "array<int>")] * keep_ids
-    return append_columns(docs, make, fields, text_col, piece_bytes=1 << 20, done=lambda: load(vocabulary).forget())
+    return append_columns(docs, make, fields, text_col, piece_bytes=2 << 20, done=lambda: load(vocabulary).forget())

@@ -80,7 +80,7 @@ def _counted(codes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndar
     both = np.sort(codes << np.uint64(1) | weight.astype(np.uint64))
     ordered = both >> np.uint64(1)
     begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    return ordered[begin], np.add.reduceat((both & np.uint64(1)).astype("<u4"), begin)
+    return ordered[begin], np.add.reduceat(both & np.uint64(1), begin).astype("<u4")
 
 
 class _Block:

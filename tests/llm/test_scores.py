@@ -7,9 +7,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from graphloom.llm import decontamination, elias_fano, language_id, license_scan, lm_score, quality_rules
+from graphloom.llm import decontamination, elias_fano, exchange, language_id, license_scan, lm_score, quality_rules
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -126,6 +127,30 @@ def test_language_model(docs, rows, none):
         assert sum(third(a, b, x) for x in [*one, b"never seen"]) == pytest.approx(1)
 
 
+def test_counts_of_many_blocks_are_added(spark):
+    """Each block gets the sums of all, of every order, whichever blocks have trained."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 300) % 500) for _ in range(40)]
+    held = [i % 3 == 0 for i in range(40)]
+    codes = [exchange.Codes(5, width) for width in lm_score.WIDTHS]
+    table = lambda b: pa.table({exchange.TEXT: pa.array(texts[b::5]), "held_out": pa.array(held[b::5]), exchange.BLOCK: pa.array([b] * 8, pa.int32())})
+    sent = pa.concat_tables([lm_score._send(b, lm_score._Block(table(b), codes, False), codes) for b in range(5)])
+    buckets = np.array(sent["bucket"])
+    answers = pa.concat_tables([lm_score._answer(sent.filter(pa.array(buckets == k)), codes) for k in np.unique(buckets)])
+    total = Counter()
+    for t, h in zip(texts, held, strict=True):
+        w = [*t.split(), None]
+        if not h:
+            total.update((tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)))
+    for b in range(5):
+        own = lm_score._Block(table(b), codes)
+        sums = lm_score._answered(own, answers.filter(pa.array(np.array(answers[exchange.BLOCK]) == b)))
+        tokens = [x for t in texts[b::5] for x in [*t.split(), None]]
+        for n in range(3):
+            for place, got in zip(own.place[n].tolist(), sums[n].tolist(), strict=True):
+                assert got == total[tuple(tokens[place - n : place + 1])]
+
+
 def test_language_model_without_training_rows(spark):
     ids = [d for d in range(200) if zlib.crc32(str(d).encode()) % 7 == 2][:3]
     got = lm_score.score(spark.createDataFrame([(d, "a b") for d in ids], "doc_id long, text string")).collect()

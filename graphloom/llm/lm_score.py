@@ -207,7 +207,8 @@ def model(own: _Block, sums: list[np.ndarray], whole: float) -> tuple[Trie, list
     seen = seen[np.lexsort((last[seen], before[seen]))]
     place = np.full(len(two), -1, np.int64)
     place[seen] = np.arange(len(seen))
-    deep = np.flatnonzero(three > 0)
+    # a triple whose code another one shares may have a count and no pair: it isn't in the model
+    deep = np.flatnonzero((three > 0) & (place[first_two] >= 0))
     deep = deep[np.lexsort((third[deep], place[first_two[deep]]))]
     levels = [
         (before[seen], last[seen], np.log10(p_two[seen]), np.log10(mu / (two[seen] + mu))),

@@ -117,18 +117,31 @@ def _split(rows: pa.Table) -> list[list[int]]:
     return rows["sizes"].to_pylist()
 
 
-def _turned(blob: bytes, width: int) -> bytes:
-    """Bytes of one rank side by side: the high ones of sorted codes and of counts hardly change, and so compress."""
-    return np.frombuffer(blob, np.uint8).reshape(-1, width).T.tobytes()
+def _turned(rows: np.ndarray) -> bytes:
+    """Rows of bytes with those of one rank side by side: high bytes of differences and counts hardly change, and so
+    compress."""
+    return np.ascontiguousarray(rows.T).tobytes()
+
+
+def _bytes(values: np.ndarray, kind: str) -> np.ndarray:
+    """Numbers as rows of bytes, the lowest first."""
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1)
 
 
 def _send(block: int, own: _Block, codes: list[Codes]) -> pa.Table:
+    """A row for each bucket: of each order the differences of the sorted codes, and the counts."""
     by_bucket: dict[int, list] = {}
     for order, how in enumerate(codes):
-        buckets, blobs, edges = how.packed(own.codes[order])
-        for bucket, blob, more in zip(buckets, blobs, exchange.cut_at(edges, own.counts[order]), strict=True):
+        full = own.codes[order]
+        present, first = np.unique((full >> how.low).astype(np.int64), return_index=True)
+        low = full & ((np.uint64(1) << how.low) - np.uint64(1))
+        steps = low.copy()
+        steps[1:] -= low[:-1]
+        steps[first] = low[first]
+        raw, counts = _bytes(steps, "<u8")[:, : how.width], _bytes(own.counts[order], "<u4")
+        for bucket, a, b in zip(present.tolist(), first.tolist(), [*first[1:].tolist(), len(full)], strict=True):
             row = by_bucket.setdefault(bucket, [[0] * ORDERS, [b""] * ORDERS, [b""] * ORDERS])
-            row[0][order], row[1][order], row[2][order] = len(blob) // how.width, _turned(blob, how.width), _turned(more, 4)
+            row[0][order], row[1][order], row[2][order] = b - a, _turned(raw[a:b]), _turned(counts[a:b])
     chosen = sorted(by_bucket)
     rows = [by_bucket[b] for b in chosen]
     return pa.table({"bucket": pa.array(chosen, pa.int32()), BLOCK: pa.array([block] * len(chosen), pa.int32()), "sizes": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "codes": pa.array([b"".join(r[1]) for r in rows], pa.binary()), "more": pa.array([b"".join(r[2]) for r in rows], pa.binary())})
@@ -151,8 +164,10 @@ def _sums(rows: pa.Table, codes: list[Codes], order: int) -> tuple[np.ndarray, n
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, : WIDTHS[order]] = raw
     counts = np.ascontiguousarray(_order(sizes, rows["more"].to_pylist(), order, (4,) * ORDERS)).view("<u4").reshape(-1)
-    known, _, which = distinct(wide.view("<u8").reshape(-1))
-    return np.bincount(which, weights=counts, minlength=len(known)).astype("<u8"), which, counts, np.array([n[order] for n in sizes])
+    lengths = np.array([n[order] for n in sizes], np.int64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide.view("<u8").reshape(-1), dtype=np.uint64)])
+    known, _, which = distinct(sums[1:] - np.repeat(sums[np.cumsum(lengths) - lengths], lengths))
+    return np.bincount(which, weights=counts, minlength=len(known)).astype("<u8"), which, counts, lengths
 
 
 def _answer(rows: pa.Table, codes: list[Codes]) -> pa.Table:
@@ -167,7 +182,7 @@ def _answer(rows: pa.Table, codes: list[Codes]) -> pa.Table:
         ends = np.cumsum(lengths)
         for i, (a, b) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
             bits[i].append(np.packbits(other[a:b]).tobytes())
-            more[i].append(answer[a:b][other[a:b]].tobytes())
+            more[i].append(_turned(_bytes(answer[a:b][other[a:b]], "<u8")))
     return pa.table({"bucket": rows["bucket"], BLOCK: rows[BLOCK], "sizes": rows["sizes"], "codes": pa.array([b"".join(x) for x in bits], pa.binary()), "more": pa.array([b"".join(x) for x in more], pa.binary())})
 
 
@@ -177,15 +192,15 @@ def _answered(own: _Block, side: pa.Table) -> list[np.ndarray]:
     out = [counts.astype(np.int64) for counts in own.counts]
     filled = [0] * ORDERS
     for sizes, bits, more in zip(_split(side), side["codes"].to_pylist(), side["more"].to_pylist(), strict=True):
-        sums, begin = np.frombuffer(more, "<u8"), 0
-        used = 0
+        begin, used = 0, 0
         for order, n in enumerate(sizes):
             length = (n + 7) // 8
             other = np.unpackbits(np.frombuffer(bits[begin : begin + length], np.uint8), count=n).astype(bool)
             begin += length
             k = int(other.sum())
-            out[order][filled[order] : filled[order] + n][other] = sums[used : used + k]
-            used, filled[order] = used + k, filled[order] + n
+            sums = np.ascontiguousarray(np.frombuffer(more, np.uint8, 8 * k, used).reshape(8, k).T).view("<u8").reshape(-1)
+            out[order][filled[order] : filled[order] + n][other] = sums
+            used, filled[order] = used + 8 * k, filled[order] + n
     return out
 
 

@@ -125,7 +125,7 @@ def _turned(rows: np.ndarray) -> bytes:
 
 def _bytes(values: np.ndarray, kind: str) -> np.ndarray:
     """Numbers as rows of bytes, the lowest first."""
-    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1)
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, np.dtype(kind).itemsize)
 
 
 def _send(block: int, own: _Block, codes: list[Codes]) -> pa.Table:

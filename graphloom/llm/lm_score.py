@@ -133,6 +133,8 @@ def _send(block: int, own: _Block, codes: list[Codes]) -> pa.Table:
     by_bucket: dict[int, list] = {}
     for order, how in enumerate(codes):
         full = own.codes[order]
+        if not len(full):
+            continue
         present, first = np.unique((full >> how.low).astype(np.int64), return_index=True)
         low = full & ((np.uint64(1) << how.low) - np.uint64(1))
         steps = low.copy()

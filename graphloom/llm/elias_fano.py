@@ -94,17 +94,16 @@ class EliasFano:
     def successor(self, least: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """In each range of places the first with a value of ``least`` or more (``end`` if none), and its value."""
         lo, hi = begin.astype(np.int64).copy(), end.astype(np.int64).copy()
-        while True:
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
+        value = np.full(len(lo), -1, np.int64)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
             middle = (lo[open_] + hi[open_]) >> 1
-            small = self.get(middle) < least[open_]
+            found = self.get(middle)
+            small = found < least[open_]
             lo[open_[small]] = middle[small] + 1
-            hi[open_[~small]] = middle[~small]
-        value = np.full(len(lo), -1, np.int64)
-        inside = lo < end
-        value[inside] = self.get(lo[inside])
+            large = open_[~small]
+            hi[large], value[large] = middle[~small], found[~small]
+            open_ = open_[lo[open_] < hi[open_]]
         return lo, value
 
     @property
@@ -144,11 +143,16 @@ class Level:
         out = np.full(len(words), -1, np.int64)
         if not self.successors.n or not len(words):
             return out
-        begin, end = self.pointers.get(contexts), self.pointers.get(contexts + 1)
+        # of each context, where its range begins and what its words are shifted by: read once for all its n-grams
+        bounds = self.pointers.get(np.arange(self.pointers.n))
+        used = np.flatnonzero(np.diff(bounds))
+        shifts = np.zeros(self.pointers.n, np.int64)
+        later = used[bounds[used] > 0]
+        shifts[later] = self.successors.get(bounds[later] - 1) + 1
+        begin, end = bounds[contexts], bounds[contexts + 1]
         some = np.flatnonzero(end > begin)
         begin, end = begin[some], end[some]
-        before = begin - 1
-        sought = words[some] + np.where(before >= 0, self.successors.get(np.maximum(before, 0)) + 1, 0)
+        sought = words[some] + shifts[contexts[some]]
         at, value = self.successors.successor(sought, begin, end)
         hit = value == sought
         out[some[hit]] = at[hit]

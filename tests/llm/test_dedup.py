@@ -44,6 +44,20 @@ def test_repeated_passages(docs, rows, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def _wide(spark):
+    """Short texts that repeat a passage, and 60 MB beside them in four blocks: what a block returns takes several batches."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(d, f"{passage} " + " ".join(f"d{d}x{i}" for i in range(30))) for d in range(60)]
+    frame = spark.range(60).selectExpr("id as doc_id", f"concat('{passage} ', array_join(transform(sequence(0, 29), i -> concat('d', id, 'x', i)), ' ')) as text", "repeat('y', 1 << 20) as further")
+    return rows, frame
+
+
+def test_repeated_passages_of_large_blocks(spark):
+    rows, frame = _wide(spark)
+    out = substring_dedup.remove_repeats(frame).selectExpr("doc_id", "n_words", "n_removed", "kept_sha256", "length(further) as size").collect()
+    assert sorted(tuple(r)[:4] for r in out) == _removed_words(rows) and {r.size for r in out} == {1 << 20}
+
+
 def test_automata_locate_all_occurrences_over_shards():
     tiles = np.array([[1, 2, 3], [2, 3, 4], [9, 9, 9]])
     text = np.array([1, 2, 3, 4, 9, 9, 9, 9, 1, 2, 3])

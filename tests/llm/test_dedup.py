@@ -120,6 +120,14 @@ def test_repeated_bytes(docs, rows, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_repeated_bytes_of_large_blocks(spark):
+    rows, frame = _wide(spark)
+    out = suffix_dedup.remove_repeats(frame).selectExpr("doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "length(further) as size").collect()
+    expected = _removed_bytes(rows)
+    assert len(out) == len(rows) and {r.size for r in out} == {1 << 20}
+    assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == expected[r.doc_id, r.text] for r in out)
+
+
 def test_hot_anchors_are_split_without_loss(spark, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", 2)
     some = [r for r in rows if r[0] is not None]

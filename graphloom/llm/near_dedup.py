@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm import arrays
-from graphloom.llm.common import bounded, bytes_of, pieces, released, written
+from graphloom.llm import arrays, exchange
+from graphloom.llm.common import BLOCK, block_count, bounded, bytes_of, pieces, released, tidy, with_block, written
 from graphloom.llm.components import components
 
 #: Bytes of a table that is broadcast, at most.
 BROADCAST_BYTES = 4 << 20
-#: Counters that order shingles by frequency in the exact join; members of a posting that are joined in one cell.
-SLOTS, CELL = 1 << 22, 1024
+#: Members of a posting that are joined in one cell.
+CELL = 1024
 #: Rows a task sends at once.
 BATCH_ROWS = 1 << 16
 #: Documents, or distinct shingles, whose counts a task adds up before it sends the frequent ones.
@@ -169,7 +169,7 @@ def frequencies(texts: DataFrame, settings: Sampling) -> tuple[Frequent, int]:
         released()
 
     sent = texts.select("text").mapInArrow(send, "hash bigint, n bigint, rows bigint")
-    summed = written(sent.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).coalesce(1 + bytes_of(texts) // TASK_BYTES))
+    summed = written(sent.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).coalesce(min(1 << 24, 1 + bytes_of(texts) // TASK_BYTES)))
     documents = summed.agg(F.sum("rows")).first()[0] or 0
     # at most (mean shingles of a document) / (0.75 common) of them
     likely = np.sort(summed.where((F.col("n") >= 3 * quarter * documents) & (F.col("n") > 0)).select("hash").toArrow()["hash"].to_numpy().view(np.uint64))
@@ -310,54 +310,73 @@ def _labelled(df: DataFrame, labels: DataFrame) -> DataFrame:
     return df.join(_small(to, labels, 16), "label", "left").withColumn("label", F.coalesce("__to", "label")).drop("__to")
 
 
-def _ordered(texts: DataFrame, settings: Sampling) -> np.ndarray:
-    """How often shingles stand in texts (id, text), summed in ``SLOTS`` counters by hash: never less than a shingle's
-    own frequency."""
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column("text")
-            for start, stop in pieces(column, 2 << 20):
-                _, hashes, _ = shingles(*arrays.buffer(column.slice(start, stop - start)), settings.shingle)
-                slot, n = np.unique(hashes & np.uint64(SLOTS - 1), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"slot": slot.astype(np.int32), "n": n.astype(np.int64)})
-        released()
-
-    # counters of one are as good as none: whatever isn't seen twice is in no other text
-    counted = texts.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.least(F.sum("n"), F.lit((1 << 31) - 1)).cast("int").alias("n")).where("n > 1").toArrow()
-    out = np.ones(SLOTS, np.int32)
-    out[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    return out
-
-
 def _prefixes(texts: DataFrame, frequent: Frequent, settings: Sampling) -> DataFrame:
     """id, label, whole weight, and hash and rest (the weight from there on) of each shingle in the prefixes of texts
     (id, label, text), rarest shingles first. The first shingle that two texts at the least similarity share has in
-    both a rest of no less than that share of the whole; shingles of one text only are left out."""
-    order = texts.sparkSession.sparkContext.broadcast(_ordered(texts, settings))
-    least = settings.similarity * (1 - 1e-9)
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column("text")
-            for start, stop in pieces(column, 1 << 20):
-                part = batch.slice(start, stop - start)
-                doc, hashes, times = shingles(*arrays.buffer(part.column("text")), settings.shingle)
-                weights = frequent.weights(hashes, times)
-                seen = order.value[(hashes & np.uint64(SLOTS - 1)).view(np.int64)]
-                turn = np.lexsort((hashes, seen, doc))
-                hashes, weights, seen = hashes[turn], weights[turn], seen[turn]
-                whole = np.bincount(doc, weights=weights, minlength=part.num_rows)
-                sums = np.concatenate([[0.0], np.cumsum(weights)])
-                ends = np.searchsorted(doc, np.arange(part.num_rows), "right")
-                rest = sums[ends[doc]] - sums[:-1]
-                # rounding of the sums must not lose a text's first place
-                keep = (rest >= least * whole[doc] - 1e-9 * sums[-1]) & (seen > 1)
-                at = pa.array(doc[keep])
-                yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("label").take(at), pa.array(hashes[keep].view(np.int64)), pa.array(rest[keep] + 1e-9 * sums[-1]), pa.array(whole[doc[keep]])], names=["id", "label", "hash", "rest", "whole"])
-        released()
+    both a rest of no less than that share of the whole; shingles of one label only come first and are left out.
 
-    return texts.select("id", "label", "text").mapInArrow(run, "id bigint, label bigint, hash bigint, rest double, whole double")
+    Blocks send their distinct shingles to buckets, packed, with how many of their texts have each; buckets answer those
+    of several labels with the sum. So no table of counts is as small for a large input as for a small one.
+    """
+    blocks = block_count(texts)
+    codes = exchange.Codes(blocks)
+    marked = with_block(texts.select("id", "label", F.col("text").alias(exchange.TEXT)), blocks, "id")
+    least = settings.similarity * (1 - 1e-9)
+    held = np.dtype([("label", "<i8"), ("n", "<i4"), ("several", "u1")])
+    out = pa.schema([("id", pa.int64()), ("label", pa.int64()), ("hash", pa.int64()), ("rest", pa.float64()), ("whole", pa.float64())])
+
+    def send(rows: pa.Table) -> pa.Table:
+        found, labels = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for part, data, offsets in exchange.text_pieces(rows, 1 << 20):
+            doc, hashes, _ = shingles(data, offsets, settings.shingle)
+            found.append(codes.of(hashes))
+            labels.append(part["label"].to_numpy()[doc])
+        full, label = np.concatenate(found), np.concatenate(labels)
+        order = np.lexsort((label, full))
+        full, label = full[order], label[order]
+        begin = np.flatnonzero(np.concatenate([[True], full[1:] != full[:-1]])) if len(full) else np.empty(0, np.int64)
+        end = np.append(begin[1:], len(full)) - 1 if len(full) else begin
+        more = np.empty(len(begin), held)
+        more["label"], more["n"], more["several"] = label[begin], end - begin + 1, label[begin] != label[end]
+        buckets, blobs, edges = codes.packed(full[begin])
+        return exchange.rows_table(rows[BLOCK][0].as_py(), buckets, blobs, exchange.cut_at(edges, more))
+
+    def shared(rows: pa.Table) -> pa.Table:
+        full, lengths = codes.unpacked(rows["codes"].to_pylist())
+        own = np.frombuffer(b"".join(rows["more"].to_pylist()), held)
+        _, first, which = np.unique(full, return_index=True, return_inverse=True)
+        unlike = (own["label"] != own["label"][first[which]]) | (own["several"] > 0)
+        keep = (np.bincount(which, weights=unlike) > 0)[which]
+        n = np.minimum(np.bincount(which, weights=own["n"]), (1 << 31) - 1).astype("<i4")[which]
+        raw = np.ascontiguousarray(full.view(np.uint8).reshape(-1, 8)[:, : codes.width])
+        edges = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(lengths)])]
+        table_ = pa.table({"bucket": rows["bucket"], BLOCK: rows[BLOCK], "codes": pa.array(exchange.cut_at(edges, raw[keep]), pa.binary()), "more": pa.array(exchange.cut_at(edges, n[keep]), pa.binary())})
+        return table_.filter(pa.array(np.diff(edges) > 0, pa.bool_()))
+
+    def run(rows: pa.Table, side: pa.Table) -> pa.Table:
+        known, more = exchange.side_codes(side, codes)
+        if not len(known):
+            return out.empty_table()
+        n, made = np.frombuffer(b"".join(more), "<i4"), []
+        for part, data, offsets in exchange.text_pieces(rows, 1 << 20):
+            doc, hashes, times = shingles(data, offsets, settings.shingle)
+            weights = frequent.weights(hashes, times)
+            has, at = exchange.member(codes.of(hashes), known)
+            seen = np.where(has, n[at], 1)
+            turn = np.lexsort((hashes, seen, doc))
+            hashes, weights, has = hashes[turn], weights[turn], has[turn]
+            whole = np.bincount(doc, weights=weights, minlength=part.num_rows)
+            sums = np.concatenate([[0.0], np.cumsum(weights)])
+            ends = np.searchsorted(doc, np.arange(part.num_rows), "right")
+            rest = sums[ends[doc]] - sums[:-1]
+            # rounding of the sums must not lose a text's first place
+            keep = (rest >= least * whole[doc] - 1e-9 * sums[-1]) & has
+            at = doc[keep]
+            made.append(pa.table([part["id"].to_numpy()[at], part["label"].to_numpy()[at], hashes[keep].view(np.int64), rest[keep] + 1e-9 * sums[-1], whole[at]], schema=out))
+        return pa.concat_tables(made) if made else out.empty_table()
+
+    side = marked.groupBy(BLOCK).applyInArrow(tidy(send), exchange.ROWS).groupBy("bucket").applyInArrow(tidy(shared), exchange.ROWS)
+    return exchange.per_block(marked, side, run, "id bigint, label bigint, hash bigint, rest double, whole double")
 
 
 def _exact(waiting: DataFrame, texts: DataFrame, frequent: Frequent, settings: Sampling) -> DataFrame:

@@ -246,3 +246,18 @@ def test_exact_join_finds_all_pairs(spark, monkeypatch):
     ids = sorted(texts)
     expected = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if near_dedup.similarity(texts[a], texts[b], frequent, 5) >= 0.8}
     assert {(r.u, r.v) for r in found} == expected and len(found) == len(expected) >= 15
+
+
+def test_prefixes_hold_shared_shingles_only(spark, tmp_path):
+    """Many texts with their own shingles each, of which a table of counts of one size would take some for shared."""
+    own = lambda d, n: [f"d{d}x{i}" for i in range(n)]
+    rows = [(d, d, " ".join(own(d, 3000))) for d in range(400)]
+    rows += [(1000 + d, 1000, " ".join([*own("same", 40), f"e{d}"])) for d in range(5)]  # of one label
+    rows += [(2000 + d, 2000 + d, " ".join([*own("like", 40), f"e{d}"])) for d in range(5)]
+    spark.createDataFrame(rows, "id long, label long, text string").repartition(3).write.parquet(f"{tmp_path}/t")
+    frame, settings = spark.read.parquet(f"{tmp_path}/t"), near_dedup.Sampling()
+    frequent = near_dedup.Frequent(np.empty(0, np.uint64), np.empty(0, np.int64), len(rows), settings)
+    found = near_dedup._prefixes(frame, frequent, settings).collect()
+    assert {r.id for r in found} == {2000 + d for d in range(5)}
+    # 37 shingles, of which the one that ends in the text's own word comes first
+    assert len(found) == 5 * 7 and {r.whole for r in found} == {37}

@@ -108,6 +108,14 @@ def test_repeated_passages(stages):
     _same(after, expected)
 
 
+def test_repeated_passages_of_large_blocks(spark):
+    """What a block returns takes several batches: 60 MB beside the texts in four blocks."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    frame = spark.range(60).selectExpr("id as doc_id", f"concat('{passage} d', id) as text", "repeat('y', 1 << 20) as further")
+    out = corpus_pipeline.repeated_passages(spark, frame, "").selectExpr("doc_id", "text", "length(further) as size").collect()
+    assert sorted(tuple(r) for r in out) == [(d, f"d{d}" if d else f"{passage} d0", 1 << 20) for d in range(60)]
+
+
 def test_benchmark(spark, folder, stages):
     before, after = stages[3]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))

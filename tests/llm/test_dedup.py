@@ -1,6 +1,7 @@
 """Removal of repeats and near copies against brute force."""
 
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -161,6 +162,36 @@ def test_no_anchor_gathers_a_hot_passage(spark, monkeypatch):
     assert most <= blocks
 
 
+@pytest.mark.parametrize("hot", [2, 64])
+def test_texts_of_one_id_do_not_remove_each_other(spark, monkeypatch, hot):
+    """Earlier: under a smaller id, or before in the same text."""
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
+    rng = np.random.default_rng(7)
+    letters = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    rows = []
+    for d in (None, -5, 3, 9):
+        x, y = letters(180), letters(150)
+        rows += [(d, x + letters(40)), (d, x + letters(70)), (d, letters(30) + x), (d, y + letters(20) + y + letters(20) + y), (d, letters(9) + y)]
+    rows += [(20, rows[6][1]), (21, letters(30) + rows[1][1]), (21, letters(10) + rows[6][1] + letters(60)), (21, letters(10) + rows[6][1] + letters(50)), (21, rows[5][1])]
+    rows += [rows[7], rows[8]]
+    first, expected = {}, []
+    for d, text in rows:
+        for i in range(len(text) - 99):
+            first[text[i : i + 100]] = min(first.get(text[i : i + 100], math.inf), math.inf if d is None else d)
+    for d, text in rows:
+        gone, own = np.zeros(len(text) + 1, bool), set()
+        for i in range(len(text) - 99):
+            w = text[i : i + 100]
+            if first[w] < (math.inf if d is None else d) or w in own:
+                gone[i : i + 100] = True
+            own.add(w)
+        left = "".join(c for c, g in zip(text, gone, strict=False) if not g)
+        expected.append((d, len(text), len(text) - len(left), int((gone[:-1] & ~gone[np.arange(-1, len(text) - 1)]).sum()), hashlib.sha256(left.encode()).hexdigest()))
+    out = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_deep_shallow_sorts(seed):
     rng = np.random.default_rng(seed)

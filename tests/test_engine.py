@@ -96,6 +96,43 @@ def test_closure_of_cycles(spark):
     assert paths.closure(edges.limit(0)).count() == 0
 
 
+def _reached(pairs):
+    after, out = {}, set()
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    for a in after:
+        found, todo = set(), [a]
+        while todo:
+            todo = [y for x in todo for y in after.get(x, ()) if y not in found and not found.add(y)]
+        out |= {(a, b) for b in found}
+    return sorted(out)
+
+
+def test_closure_of_lines_and_rings(spark, monkeypatch):
+    """Each pair is made once and nothing is joined round by round; a long line and ring are dealt to blocks."""
+    monkeypatch.setattr(paths, "LINE_BLOCK", 5)
+    monkeypatch.setattr(paths, "FEW_SEEDS", 2)
+    monkeypatch.setattr(paths, "_doubled", None)
+    pairs = [(f"a{i}", f"a{i + 1}") for i in range(9)] + [("b1", "b0"), ("b0", "b2"), ("self", "self")]
+    for name, size in (("r", 7), ("q", 3), ("p", 2)):
+        pairs += [(f"{name}{i}", f"{name}{(i + 2) % size if size == 7 else (i + 1) % size}") for i in range(size)]
+    edges = spark.createDataFrame([*pairs, pairs[0]], "s string, o string")
+    expected = _reached(pairs)
+    assert rows(paths.closure(edges)) == expected
+    assert rows(paths.closure(edges, beyond=True)) == sorted(set(expected) - set(pairs))
+    seeds = ["a3", "b0", "r2", "none"]
+    assert rows(paths.closure(edges, spark.createDataFrame([(x,) for x in seeds], "s string"))) == [x for x in expected if x[0] in seeds]
+    only = [x for x in pairs if x[0].startswith("r")]
+    assert rows(paths.closure(spark.createDataFrame(only, "s string, o string"), beyond=True)) == sorted(set(_reached(only)) - set(only))
+
+
+def test_closure_of_branching_ways(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "e"), ("e", "f"), ("f", "g"), ("x", "d"), ("g", "h"), ("h", "h"), ("a", "c")]
+    edges = spark.createDataFrame(pairs, "s string, o string")
+    assert rows(paths.closure(edges)) == _reached(pairs)
+    assert rows(paths.closure(edges, beyond=True)) == sorted(set(_reached(pairs)) - set(pairs))
+
+
 def test_terms(spark):
     values = ["plain", 'quote " and \\ back', "line\nbreak\ttab", "", "\\n"]
     df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("t", terms.plain(F.col("v")))

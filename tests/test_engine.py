@@ -126,6 +126,32 @@ def test_closure_of_lines_and_rings(spark, monkeypatch):
     assert rows(paths.closure(spark.createDataFrame(only, "s string, o string"), beyond=True)) == sorted(set(_reached(only)) - set(only))
 
 
+def test_transitive_rules_are_closed_at_once(spark, monkeypatch):
+    """Lines: no step joins all facts; the same proofs, insertions and deletions as step by step."""
+    rules = rulesets.rules("{ ?y <n> ?z . ?x <n> ?y } => { ?x <n> ?z } .")
+    links = [(f"<{a}{(i * 7) % 23}>", "<n>", f"<{a}{(i * 7 + 7) % 23}>") for a, size in (("a", 6), ("b", 3), ("c", 1)) for i in range(size)]
+    facts = Graph.of(spark, [*links, ("<a1>", "<other>", "<b1>")])
+    late = spark.createDataFrame([links[3], links[7]], "s string, p string, o string")
+    early = Graph(facts.delete(late).triples)
+    closed = sorted([(a, "<n>", b) for a, b in _reached([(a, b) for a, _, b in links])] + [("<a1>", "<other>", "<b1>")])
+
+    def run():
+        proof = fixpoint.derivations(facts, rules)
+        whole, part = fixpoint.reason(facts, rules).graph, fixpoint.reason(early, rules).graph
+        grown = fixpoint.insert(part, rules, late)
+        return rows(proof), fixpoint.validate(proof, facts).count(), rows(whole.triples), rows(fixpoint.remove(facts, whole, rules, late).triples), rows(grown.graph.triples), rows(grown.inferred)
+
+    with monkeypatch.context() as m:
+        m.setattr(fixpoint, "derive", None)
+        m.setattr(fixpoint, "solve", None)
+        fast = run()
+    monkeypatch.setattr(fixpoint, "_transitive", lambda rules: None)
+    assert fast == run()
+    assert fast[1] == 0 and fast[2] == closed == fast[4] and len(fast[3]) < len(closed)
+    proof = fixpoint.derivations(facts, rules)
+    assert fixpoint.validate(proof.where("step > 1"), facts).count() > 0
+
+
 def test_closure_of_branching_ways(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("b", "d"), ("d", "e"), ("e", "f"), ("f", "g"), ("x", "d"), ("g", "h"), ("h", "h"), ("a", "c")]
     edges = spark.createDataFrame(pairs, "s string, o string")
